@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .exact_dedup import exact_groups
 from .mixing import mixed
 from .packing import pack
+from .simhash import simhash_groups
 from .token_counts import token_prefix_tables
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +28,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"), radius=4)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mix.select(
@@ -37,6 +48,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP9_SQL = """
+select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
+  count(*) over (partition by coalesce(text, '')) as group_size,
+  doc_id = max(doc_id) over (partition by coalesce(text, '')) as kept,
+  sha256(coalesce(text, '')) as text_sha256
+from documents
+"""
+
 OP10_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
@@ -71,7 +90,9 @@ from sized d join rates r on d.source is not distinct from r.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_packing": op3_packing,
+    "op7_simhash": op7_simhash,
+    "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
+SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
