@@ -30,17 +30,17 @@ def test_targets(spark):
 
 def test_copies(spark):
     rows = [(i, "w " * (1 + i % 7), f"s{i % 3}", 1) for i in range(3000)] + [(None, None, None, 2), (5, "", "s0", 3), (6, "x y", None, 4)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_rate int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rate int")
     mix = mixed(df)
     got = mix.collect()
     assert len(got) == len(rows)
-    assert all(0 <= r.mix_copies <= 3 for r in got)
+    assert all(0 <= r.copies <= 3 for r in got)
     taken, target = {}, {}
     for r in got:
-        taken[r.source] = taken.get(r.source, 0) + r.mix_copies * r.mix_size
-        target[r.source] = r.mix_target
+        taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
+        target[r.source] = r.target
     assert all(abs(taken[s] - target[s]) <= 0.1 * target[s] + 6 for s in taken)
-    assert emit(mix).count() == sum(r.mix_copies for r in got)
-    assert emit(mix).columns == ["doc_id", "text", "source"]
+    assert emit(df).count() == sum(r.copies for r in got)
+    assert emit(df).columns == df.columns
     assert sorted(map(str, got)) == sorted(map(str, mixed(df).collect()))
     assert mixed(df.limit(0)).count() == 0

@@ -102,3 +102,13 @@ def exact_groups(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
     return rows.join(groups, ["n_blocks", "name"]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), "text_sha256"
     )
+
+
+def without_copies(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
+    """``docs``, all columns, with one row of each group of equal texts: that of :func:`exact_groups`."""
+    kept = exact_groups(docs, block_bytes).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.sha2(utf8(F.col("text")), 256) == F.col("_kept_text"))
+    joined = docs.join(kept, same, "left_semi")
+    # rows that agree in id and text are copies as well
+    one = Window.partitionBy("doc_id", F.sha2(utf8(F.col("text")), 256)).orderBy(F.lit(1))
+    return joined.withColumn("_turn", F.row_number().over(one)).where("_turn = 1").drop("_turn")

@@ -51,30 +51,32 @@ def copies(rate: Column, doc_id: Column, seed: str) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
+def _with_copies(docs: DataFrame, rows: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
+    """``rows`` (doc_id, source and others) with their source's size, target, rate and the copies to take."""
+    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
+    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "of_source")
+    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of_source")), "inner").drop("of_source")
+    return joined.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), seed))
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
     """How often the mix takes each document.
 
-    Returns ``docs`` with mix_size (its words), mix_source_size, mix_target and
-    mix_rate of its source, mix_copies (columns of these names are replaced).
-    :func:`emit` repeats the rows.
+    Returns, per row of ``docs``: doc_id, source, size (its words), source_size,
+    target, rate, copies. :func:`emit` gives the rows themselves.
 
     Null texts have size 0; the null source is a source, last in order. Rows of
     one id share its draw, and null ids one draw. A source without words has
-    target 0 and gives no copies. Only the sum for each source is shuffled, and
-    the few sources come back by a join on ``source`` that Spark may broadcast
-    by their measured size; a hot source is split by the adaptive join.
+    target 0 and gives no copies. Other columns are left out. An empty table
+    gives an empty one. Only the sum for each source is shuffled, and the few
+    sources come back by a join that Spark may broadcast by their measured size;
+    it splits a hot source otherwise.
     """
-    own = [c for c in docs.columns if not c.startswith("mix_")]
-    sized = docs.select(*own, word_count(F.col("text")).alias("mix_size"))
-    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
-    targets = source_targets(sizes, weights, most).select(
-        F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate")
-    )
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source")), "inner").drop("mix_source")
-    return joined.withColumn("mix_copies", copies(F.col("mix_rate"), F.col("doc_id"), seed))
+    return _with_copies(docs, docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), weights, most, seed)
 
 
-def emit(mix: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as :func:`mixed` says, without its columns."""
-    times = F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int"))).alias("mix_time")
-    return mix.select("*", times).drop("mix_time", "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
+def emit(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as :func:`mixed` says."""
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))
+    taken = _with_copies(docs, rows, weights, most, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("time")).select("row.*")

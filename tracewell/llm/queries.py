@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import quality, toxicity
+from .common import crc32_of_id, table
+from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_groups
 from .mixing import mixed
 from .packing import pack
@@ -23,11 +25,39 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "budget_chars")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), window=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=5))
+    return scored.select(
+        "doc_id",
+        (crc32_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.get(F.col("evidence.doc_id"), F.lit(0)).alias("nearest_example"),
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.graded(docs, quality.fit(docs, table(spark, sf_dir, "labels"), folds=5), at_least=1.0)
+    return scored.select(
+        "doc_id",
+        (crc32_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"),
+        "expected_grade",
+        "tail_probability",
+        (F.col("tail_probability") >= 0.5).alias("kept"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), radius=4)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,14 +68,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mix.select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
-    )
+    mix = mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP9_SQL = """
@@ -89,7 +113,10 @@ from sized d join rates r on d.source is not distinct from r.source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,

@@ -150,3 +150,13 @@ def simhash_groups(docs: DataFrame, radius: int = 4, most: int = 4096) -> DataFr
     roots = nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(roots.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """``docs``, all columns, with the document of least id of each component.
+
+    Rows of one id stay or go together; of null ids those stay that link with no
+    other id.
+    """
+    groups = simhash_groups(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(groups.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
