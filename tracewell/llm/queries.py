@@ -12,6 +12,7 @@ from . import quality, toxicity
 from .common import crc32_of_id, table
 from .embedding_dedup import embedding_groups
 from .exact_dedup import exact_groups
+from .lm_scores import language_scores
 from .mixing import mixed
 from .packing import pack
 from .simhash import simhash_groups
@@ -46,6 +47,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"), folds=10)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.graded(docs, quality.fit(docs, table(spark, sf_dir, "labels"), folds=5), at_least=1.0)
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_scores": op5_lm_scores,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op9_exact_dedup": op9_exact_dedup,
