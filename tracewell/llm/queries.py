@@ -15,6 +15,7 @@ from .exact_dedup import exact_groups
 from .lm_scores import language_scores
 from .mixing import mixed
 from .packing import pack
+from .repeats import without_repeats
 from .simhash import simhash_groups
 from .token_counts import token_prefix_tables
 
@@ -68,6 +69,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = without_repeats(table(spark, sf_dir, "documents"), length=50)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_scores": op5_lm_scores,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op8_repeats": op8_repeats,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_mixing": op10_mixing,
 }
