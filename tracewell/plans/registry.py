@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import trace_queries
+from . import study_queries, trace_queries
 
-QUERIES = dict(trace_queries.QUERIES)
-SQL = dict(trace_queries.SQL)
+QUERIES = trace_queries.QUERIES | study_queries.QUERIES
+SQL = trace_queries.SQL | study_queries.SQL
