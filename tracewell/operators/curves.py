@@ -85,11 +85,11 @@ def drop_widths(curve: DataFrame, commits: DataFrame, depth: Column, fractions:
     at = lambda c, k: F.max(F.when(F.col("boundary_index") == k, F.col(c))).over(whole)
     commit = F.col("commit_boundary")
     rows = joined.withColumns({"v0": at("tvd_max_forward", F.lit(0)), "vc": at("tvd_max_forward", commit), "d0": at("depth", F.lit(0)), "dc": at("depth", commit)}).where("v0 - vc > 0")
-    reached = (F.col("tvd_max_forward") - F.col("vc")) / (F.col("v0") - F.col("vc"))
+    reached = F.try_divide(F.col("tvd_max_forward") - F.col("vc"), F.col("v0") - F.col("vc"))
     asked = rows.withColumn("drop_fraction", F.explode(F.array(*map(F.lit, fractions)))).where(reached >= F.col("drop_fraction") - 1e-12)
     found = asked.groupBy("trace_id", "drop_fraction", "d0", "dc").agg(F.max(F.struct("boundary_index", "depth")).alias("a"))
     width, span = F.col("dc") - F.col("a.depth"), F.col("dc") - F.col("d0")
-    return found.select("trace_id", "drop_fraction", width.alias("width"), F.when(span > 0, width / span).alias("width_of_descent"))
+    return found.select("trace_id", "drop_fraction", width.alias("width"), F.when(span > 0, F.try_divide(width, span)).alias("width_of_descent"))
 
 
 def interpolated(curve: DataFrame, x: str, y: str, steps: int = 40) -> DataFrame:
@@ -98,7 +98,7 @@ def interpolated(curve: DataFrame, x: str, y: str, steps: int = 40) -> DataFrame
     points = curve.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("points"))
     rows = points.select("trace_id", "points", grid)
     rows = rows.withColumns({"low": F.try_element_at(F.filter("points", lambda p: p["x"] <= F.col("g")), F.lit(-1)), "high": F.try_element_at(F.filter("points", lambda p: p["x"] >= F.col("g")), F.lit(1))})
-    part = (F.col("g") - F.col("low.x")) / (F.col("high.x") - F.col("low.x"))
+    part = F.try_divide(F.col("g") - F.col("low.x"), F.col("high.x") - F.col("low.x"))
     value = (
         F.when(F.col("low").isNull(), F.col("high.y"))
         .when(F.col("high").isNull(), F.col("low.y"))

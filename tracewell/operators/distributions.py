@@ -67,7 +67,7 @@ def both_filled(value: Column) -> Column:
 
 def arm_tvd() -> Column:
     """Total variation distance of the arms of :func:`two_arms`, as an aggregate."""
-    return both_filled(1 - F.sum(F.least(F.col("p") * F.col("m"), F.col("q") * F.col("n"))) / (F.max("n") * F.max("m")))
+    return both_filled(1 - F.try_divide(F.sum(F.least(F.col("p") * F.col("m"), F.col("q") * F.col("n"))), F.max("n") * F.max("m")))
 
 
 def smoothed_kl(p: str, q: str, n: str, m: str, alpha: float = 0.5, support: Column | None = None) -> Column:
@@ -84,7 +84,7 @@ def smoothed_kl(p: str, q: str, n: str, m: str, alpha: float = 0.5, support: Col
 
 def jensen_shannon() -> Column:
     """Jensen-Shannon divergence in bits of the arms of :func:`two_arms`, unsmoothed, as an aggregate."""
-    p, q = F.col("p") / F.col("n"), F.col("q") / F.col("m")
+    p, q = F.try_divide("p", "n"), F.try_divide("q", "m")
     half = lambda x: F.when(x > 0, x * F.log2(2 * x / (p + q))).otherwise(0.0)
     return both_filled((F.sum(half(p)) + F.sum(half(q))) / 2)
 
@@ -119,4 +119,4 @@ def cosine(a: str, b: str) -> Column:
     """Cosine of two array columns; null where one is missing or zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms > 0, dot(a, b) / norms)
+    return F.try_divide(dot(a, b), norms)

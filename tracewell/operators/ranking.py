@@ -30,10 +30,10 @@ def average_rank(value: str, by: Sequence[str] = ()) -> Column:
 
 
 def bh_adjusted(p: str, by: Sequence[str] = ()) -> tuple[Column, Column]:
-    """Benjamini-Hochberg: a first column to add as ``_bh``, and the adjusted value that reads it."""
+    """Benjamini-Hochberg: a first column to add as ``_bh``, and the adjusted value that reads it; ties share theirs."""
     group = Window.partitionBy(*by)
     raw = F.col(p) * F.count(p).over(group) / F.row_number().over(group.orderBy(p))
-    down = F.least(F.lit(1.0), F.min("_bh").over(group.orderBy(F.desc(p), F.desc("_bh")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    down = F.least(F.lit(1.0), F.min("_bh").over(group.orderBy(F.desc(p))))
     return raw, down
 
 

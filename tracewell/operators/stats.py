@@ -24,9 +24,9 @@ def _pairs(groups: DataFrame, by: str) -> DataFrame:
 def welch(df: DataFrame, by: str, value: str) -> DataFrame:
     """Welch's t and degrees of freedom of every two groups."""
     groups = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
-    u, v = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(u + v)
-    freedom = (u + v) * (u + v) / (u * u / (F.col("n_a") - 1) + v * v / (F.col("n_b") - 1))
+    u, v = F.try_divide("var_a", "n_a"), F.try_divide("var_b", "n_b")
+    t = F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(u + v))
+    freedom = F.try_divide((u + v) * (u + v), F.try_divide(u * u, F.col("n_a") - 1) + F.try_divide(v * v, F.col("n_b") - 1))
     return _pairs(groups, by).select("a", "b", "n_a", "n_b", t.alias("t"), freedom.alias("df"))
 
 
@@ -47,9 +47,9 @@ def mann_whitney(df: DataFrame, by: str, value: str) -> DataFrame:
         F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"), F.sum(F.col("ca") * (F.col("under") + F.col("cb") / 2.0)).alias("u"), F.sum((both * both * both - both).cast("double")).alias("ties")
     )
     n = F.col("n_a") + F.col("n_b")
-    spread = F.sqrt(F.col("n_a") * F.col("n_b") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    spread = F.sqrt(F.col("n_a") * F.col("n_b") / 12.0 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     off = F.greatest(F.abs(F.col("u") - F.col("n_a") * F.col("n_b") / 2.0) - 0.5, F.lit(0.0))
-    return rows.select("a", "b", "n_a", "n_b", "u", (off / spread).alias("z"))
+    return rows.select("a", "b", "n_a", "n_b", "u", F.try_divide(off, spread).alias("z"))
 
 
 def kruskal(df: DataFrame, by: str, value: str, least: int = 5) -> DataFrame:
@@ -59,14 +59,14 @@ def kruskal(df: DataFrame, by: str, value: str, least: int = 5) -> DataFrame:
     groups = ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("_rank").alias("r"), F.max("_all").alias("all"), F.sum((F.col("_ties") * F.col("_ties") - 1).cast("double")).alias("t"))
     n = F.max("all")
     h = 12.0 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)
-    return groups.agg((h / (1 - F.sum("t") / (n * n * n - n))).alias("h"), (F.count(F.lit(1)) - 1).alias("df"))
+    return groups.agg(F.try_divide(h, 1 - F.try_divide(F.sum("t"), n * n * n - n)).alias("h"), (F.count(F.lit(1)) - 1).alias("df"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Correlation of average ranks, with the number of pairs and its t."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
     rho = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
-    return rho.withColumn("t", F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))))
+    return rho.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho"))))
 
 
 def wilcoxon(df: DataFrame, difference: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -77,14 +77,14 @@ def wilcoxon(df: DataFrame, difference: Column, by: Sequence[str] = ()) -> DataF
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus"), F.sum((F.col("_ties") * F.col("_ties") - 1).cast("double")).alias("t")
     )
     n, w = F.col("n"), F.least("w_plus", "w_minus")
-    z = (w - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("t") / 48.0)
+    z = F.try_divide(w - n * (n + 1) / 4.0, F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("t") / 48.0))
     return sums.select(*by, "n", "w_plus", "w_minus", w.alias("w"), z.alias("z"))
 
 
 def one_sample(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
     """t of the mean against 0."""
     rows = df.withColumn("_v", value)
-    return rows.groupBy(*by).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), (F.avg("_v") / (F.stddev_samp("_v") / F.sqrt(F.count("_v")))).alias("t"))
+    return rows.groupBy(*by).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.try_divide(F.avg("_v"), F.try_divide(F.stddev_samp("_v"), F.sqrt(F.count("_v")))).alias("t"))
 
 
 def within(df: DataFrame, unit: str, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -97,12 +97,12 @@ def within(df: DataFrame, unit: str, x: str, y: str, by: Sequence[str] = ()) ->
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": F.col(x) - F.avg(x).over(group), "_y": F.col(y) - F.avg(y).over(group)})
     whole = Window.partitionBy(*by)
     units = rows.groupBy(*by, unit).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_x") * F.col("_x")).alias("xx"), F.sum(F.col("_x") * F.col("_y")).alias("xy"))
-    units = units.withColumn("beta", F.sum("xy").over(whole) / F.sum("xx").over(whole))
+    units = units.withColumn("beta", F.try_divide(F.sum("xy").over(whole), F.sum("xx").over(whole)))
     score = F.col("xy") - F.col("beta") * F.col("xx")
     sums = units.groupBy(*by).agg(F.max("beta").alias("beta"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("units"), F.sum(score * score).alias("meat"), F.sum("xx").alias("bread"))
     n, g = F.col("n"), F.col("units")
-    scale = g / (g - 1) * (n - 1) / (n - 1 - g)
-    return sums.select(*by, "beta", (F.sqrt(F.col("meat") * scale) / F.col("bread")).alias("se"), "n", "units")
+    scale = F.try_divide(g, g - 1) * F.try_divide(n - 1, n - 1 - g)
+    return sums.select(*by, "beta", F.try_divide(F.sqrt(F.col("meat") * scale), F.col("bread")).alias("se"), "n", "units")
 
 
 def within_two(df: DataFrame, unit: str, x1: str, x2: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -112,7 +112,7 @@ def within_two(df: DataFrame, unit: str, x1: str, x2: str, y: str, by: Sequence[
     rows = df.withColumns({k: F.col(v) - F.avg(v).over(group) for k, v in names.items()})
     s = lambda u, v: F.sum(F.col(u) * F.col(v))
     det = s("_a", "_a") * s("_b", "_b") - s("_a", "_b") * s("_a", "_b")
-    return rows.groupBy(*by).agg(((s("_a", "_y") * s("_b", "_b") - s("_b", "_y") * s("_a", "_b")) / det).alias("beta_1"), ((s("_b", "_y") * s("_a", "_a") - s("_a", "_y") * s("_a", "_b")) / det).alias("beta_2"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*by).agg(F.try_divide(s("_a", "_y") * s("_b", "_b") - s("_b", "_y") * s("_a", "_b"), det).alias("beta_1"), F.try_divide(s("_b", "_y") * s("_a", "_a") - s("_a", "_y") * s("_a", "_b"), det).alias("beta_2"), F.count(F.lit(1)).alias("n"))
 
 
 @F.pandas_udf(DoubleType())

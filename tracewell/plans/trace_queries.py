@@ -255,7 +255,7 @@ def avg_ranks(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", ranking.average_rank("o_orderdate").cast("double").alias("rank"))
 
 
-@query("""select s_suppkey, round(least(1, min(raw) over (order by p desc, raw desc rows between unbounded preceding and current row)), 9) as q from (
+@query("""select s_suppkey, round(least(1, min(raw) over (order by p desc)), 9) as q from (
   select s_suppkey, p, p * count(*) over () / row_number() over (order by p) as raw from (select s_suppkey, (s_suppkey * 7919 % 1000) / 1000.0::double as p from supplier))""")
 def bh_adjust(spark, d):
     rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") * 7919 % 1000 / 1000.0).alias("p"))
