@@ -236,7 +236,7 @@ def rival_rate(spark, d):
 @query("""with u as (select *, x - avg(x) over (partition by model, unit) as dx, y - avg(y) over (partition by model, unit) as dy from (select l_suppkey % 8 as model, l_suppkey as unit, (l_returnflag = 'R')::int::double as x, l_discount * 10 + l_tax as y from lineitem)),
 g as (select model, unit, count(*) as n, sum(dx * dx) as xx, sum(dx * dy) as xy from u group by all), b as (select *, sum(xy) over (partition by model) / sum(xx) over (partition by model) as beta from g),
 s as (select model, max(beta) as beta, sum(n)::bigint as n, count(*) as units, sum((xy - beta * xx) * (xy - beta * xx)) as meat, sum(xx) as bread from b group by model)
-select model, round(beta, 9) as beta, round(sqrt(meat * (units / (units - 1) * (n - 1) / (n - 1 - units))) / bread, 9) as se, n, units from s""")
+select model, round(beta, 9) as beta, round(sqrt(meat * (units / nullif(units - 1, 0) * (n - 1) / nullif(n - 1 - units, 0))) / bread, 9) as se, n, units from s""")
 def within_ols(spark, d):
     rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 8).alias("model"), F.col("l_suppkey").alias("unit"), (F.col("l_returnflag") == "R").cast("double").alias("x"), (F.col("l_discount") * 10 + F.col("l_tax")).alias("y"))
     return stats.within(rows, "unit", "x", "y", ["model"]).select("model", r9("beta"), r9("se"), "n", "units")
