@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -13,12 +14,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc32_of_id, partitions, utf8, written
+from .chunks import Chunk, chunked, restored, squeezed
+from .common import checkpointed, partitions, utf8, written
 from .context_tree import EDGE, Level, downward, grouped, strings, upward
 
-WORD, STRING = 0, 1
 #: Bytes of text whose strings are handled at once.
-_BLOCK = 2_000_000
+_BLOCK = 1_000_000
 
 
 def _joined(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,43 +59,45 @@ def _word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-class _Chunk:
-    """What one chunk of documents holds: its distinct words and strings, with their training counts."""
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Even buckets of keys; one bucket for 0 bits."""
+    mixed = (keys.view(np.uint64) ^ (keys.view(np.uint64) >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
 
-    def __init__(self, number: int, depth: int):
-        self.number, self.depth = number, depth
-        self.words: Counter = Counter()
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
 
-    def add(self, texts: list[bytes], training: bool) -> None:
-        for text in texts:
-            words = text.split()
-            self.words.update(words if training else dict.fromkeys(words, 0))
-        for some in _blocks(texts):
-            keys, counts = np.unique(_joined(some, self.depth)[0], return_counts=True)
-            self.parts.append((keys, counts if training else np.zeros(len(keys), np.int64)))
-            self.held += len(keys)
-            if self.held > 4_000_000:
-                self.parts = [_merged(self.parts)]
-                self.held = len(self.parts[0][0])
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        keys = np.fromiter(map(_word_key, self.words), np.uint64, len(self.words)).view(np.int64)
-        pairs = [(WORD, keys, np.fromiter(self.words.values(), np.int64, len(self.words)))]
-        if self.parts:
-            pairs.append((STRING, *_merged(self.parts)))
-        for kind, keys, counts in pairs:
-            for low in range(0, len(keys), 100_000):
-                k, c = keys[low : low + 100_000], counts[low : low + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), self.number, np.int32)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(c)],
-                    ["chunk", "kind", "key", "n"],
-                )
+def _words_of(texts: Iterable[bytes]) -> list[bytes]:
+    found: set[bytes] = set()
+    for text in texts:
+        found.update(text.split())
+    return list(found)
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_word_key, words), np.uint64, len(words)).view(np.int64)
+
 
+def _dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys by bucket and key, the buckets there, and where they start and end."""
+    bucket = _bucket(keys, bits)
+    order = np.lexsort((keys, bucket))
+    there, starts = np.unique(bucket[order], return_index=True)
+    return order, there, starts, np.concatenate([starts[1:], [len(keys)]]).astype(np.int64)
 
-def _string_values(totals: DataFrame, depth: int, parts: int) -> DataFrame:
-    """Logarithm (base 10) of the model's probability for each distinct string: columns key, value.
+
+def _strings_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of some texts, sorted, and their counts."""
+    parts, held = [], 0
+    for some in _blocks(texts):
+        parts.append(np.unique(_joined(some, depth)[0], return_counts=True))
+        held += len(parts[-1][0])
+        if held > 1_500_000:
+            parts = [_merged(parts)]
+            held = len(parts[0][0])
+    return _merged(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _string_values(totals: DataFrame, depth: int, parts: int, bits: int) -> DataFrame:
+    """Logarithm (base 10) of the model's probability for each distinct string: columns bucket, key, value.
 
     Strings whose last two context bytes agree are in one partition, which has
     all nodes of depth 2 and more above them. What the nodes of depth 1 and 0
@@ -135,105 +138,157 @@ def _string_values(totals: DataFrame, depth: int, parts: int) -> DataFrame:
             trees = [a + b for a, b in zip(high, upward(found, counts, depth, 2), strict=True)]
             for low in range(0, len(found), 200_000):
                 some = found[low : low + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(downward(some, trees, depth, 0) / math.log(10))], ["key", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(_bucket(some, bits)), pa.array(some), pa.array(downward(some, trees, depth, 0) / math.log(10))], ["bucket", "key", "value"])
 
-    return dealt.mapInArrow(descend, "key long, value double")
+    return dealt.mapInArrow(descend, "bucket long, key long, value double")
 
 
-def language_scores(docs: DataFrame, folds: int = 10, depth: int = 5, chunk_bytes: int = 32_000_000) -> DataFrame:
+def language_scores(docs: DataFrame, folds: int = 10, depth: int = 5, chunk_bytes: int = 16_000_000, bucket_bytes: int = 16_000_000) -> DataFrame:
     """Log-probabilities of whole texts under a byte model and a base model of words.
 
     Learns from rows whose CRC-32 of the id as text is not divisible by
     ``folds``. Texts are UTF-8 with A-Z lowered. The model is context-tree
     weighting over the last ``depth`` bytes (:mod:`~.context_tree`), the text's end
-    being one more symbol; its counts come from all training texts. The base adds
-    0.1 to the counts of words and ends.
+    being one more symbol; its counts come from all training texts, and the
+    logarithms that it gives to bytes are rounded to single precision. The base
+    adds 0.1 to the counts of words and ends.
 
     Returns, per row of ``docs``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score (both base 10), bits_per_byte (code length of
     the text and its end over its bytes and one).
 
-    Null and empty texts hold the end alone. Null ids are held out if the CRC-32
-    of nothing, 0, is divisible: they are. Repeated rows count as often as they
-    come; other columns are left out. An empty table gives an empty one; without
-    training rows every probability is that of no counts.
+    Null and empty texts hold the end alone. Null ids are held out: the CRC-32 of
+    nothing is 0. Repeated rows count as often as they come; other columns are
+    left out. An empty table gives an empty one; without training rows every
+    probability is that of no counts.
 
-    Documents are dealt to chunks of some ``chunk_bytes`` by a hash of id and
-    text. A chunk sends each of its distinct words and strings once, counts are
-    summed by key, and each chunk gets back the values of its own keys, so nothing
-    is broadcast and no task holds more than a chunk, or the distinct strings that
-    share two bytes of context. Words are told apart by 64-bit hashes.
+    Each chunk of documents (:mod:`~.chunks`) sends its distinct words and strings
+    with their training counts to buckets by a hash, once each, and gets back the
+    values in the same order. So nothing is broadcast, and no task holds more than
+    a chunk, a bucket, or the distinct strings that share two bytes of context.
+    Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    data = utf8(F.col("text"))
-    total = docs.agg(F.sum(F.octet_length(data))).first()[0] or 0
-    chunks = max(1, math.ceil(total / chunk_bytes))
-    own = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"), (crc32_of_id(F.col("doc_id")) % folds == 0).alias("held_out")
-    )
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk: _Chunk | None = None
+    total = docs.agg(F.sum(F.octet_length(utf8(F.col("text"))))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(total, 1) / bucket_bytes)))
+    base_bucket = 1 << bits  # buckets of words come after those of strings
+    chunks = chunked(docs, chunk_bytes)
+
+    def split(chunk: Chunk) -> tuple[list[bytes], np.ndarray]:
+        texts = [t.lower() for t in chunk.texts()]
+        held = np.array([zlib.crc32(str(i).encode() if i is not None else b"") % folds == 0 for i in chunk.doc_ids()], bool)
+        return texts, held
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            held = np.array(batch.column(2).to_pylist(), bool)
-            for number in np.unique(numbers).tolist():
-                if chunk is None or chunk.number != number:
-                    if chunk is not None:
-                        yield from chunk.rows()
-                    chunk = _Chunk(number, depth)
-                for training in (True, False):
-                    mine = pa.array((numbers == number) & (held != training))
-                    chunk.add([t.lower() for t in batch.column(1).filter(mine).to_pylist()], training)
-        if chunk is not None:
-            yield from chunk.rows()
-
-    dealt = own.select("chunk", "data", "held_out").repartition(chunks, "chunk").sortWithinPartitions("chunk")
-    held = written(dealt.mapInArrow(gather, "chunk int, kind byte, key long, n long"))
-    words, found = held.where(F.col("kind") == WORD), held.where(F.col("kind") == STRING)
-    word_totals = checkpointed(words.groupBy("key").agg(F.sum("n").alias("n")))
-    string_totals = checkpointed(found.groupBy("key").agg(F.sum("n").alias("n")))
-    distinct, tokens = word_totals.agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
-    ends = own.where(~F.col("held_out")).count()
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                texts, held = split(Chunk.unpack(blob))
+                counted: Counter = Counter()
+                for text, out in zip(texts, held.tolist(), strict=True):
+                    counted.update(dict.fromkeys(text.split(), 0) if out else text.split())
+                word_counts = np.fromiter(counted.values(), np.int64, len(counted))
+                words = _hashed(list(counted))
+                del counted
+                seen, n = _strings_of([t for t, out in zip(texts, held, strict=True) if not out], depth)
+                other, _ = _strings_of([t for t, out in zip(texts, held, strict=True) if out], depth)
+                found, counts = _merged([(seen, n), (other, np.zeros(len(other), np.int64))])
+                ends = int((~held).sum())
+                for first, keys, values in ((0, found, counts), (base_bucket, words, word_counts)):
+                    order, there, starts, stops = _dealt(keys, bits)
+                    keys, values = keys[order], values[order]
+                    for b, low, high in zip(there.tolist(), starts.tolist(), stops.tolist(), strict=True):
+                        packed = squeezed(np.diff(keys[low:high], prepend=0)), squeezed(values[low:high].astype(np.int32))
+                        row = [pa.array([first + b], pa.int64()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), pa.array([ends], pa.int64())]
+                        yield pa.RecordBatch.from_arrays(row, ["bucket", "chunk", "keys", "counts", "ends"])
+                        ends = 0
+
+    def opened(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of each row; distinct keys with their totals; for all rows' keys in turn their place among these."""
+        rows = [np.cumsum(restored(x, np.int64)) for x in group.column("keys").to_pylist()]
+        counts = np.concatenate([restored(x, np.int32) for x in group.column("counts").to_pylist()])
+        keys, place = np.unique(np.concatenate(rows), return_inverse=True)
+        return rows, keys, np.bincount(place, counts, len(keys)).astype(np.int64), place
+
+    def replies_of(group: pa.Table, rows: list[np.ndarray], values: np.ndarray) -> dict[str, pa.Array]:
+        ends = np.cumsum([len(r) for r in rows])
+        blobs = [squeezed(values[e - len(r) : e]) for r, e in zip(rows, ends.tolist(), strict=True)]
+        return {"chunk": group.column("chunk"), "bucket": group.column("bucket"), "values": pa.array(blobs, pa.binary())}
+
+    def count_words(group: pa.Table) -> pa.Table:
+        rows, keys, totals, place = opened(group)
+        first = [1] + [0] * (len(rows) - 1)
+        stats = {"distinct": int((totals > 0).sum()), "tokens": int(totals.sum())}
+        return pa.table(replies_of(group, rows, totals[place].astype(np.int64)) | {k: pa.array([v * f for f in first], pa.int64()) for k, v in stats.items()})
+
+    def count_strings(group: pa.Table) -> pa.Table:
+        _, keys, totals, _ = opened(group)
+        return pa.table({"key": pa.array(keys), "n": pa.array(totals)})
+
+    def value_strings(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, keys, _, place = opened(left)
+        known, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        order = np.argsort(known)
+        if len(known) != len(keys) or (known[order] != keys).any():
+            raise RuntimeError("strings and their values differ")
+        return pa.table(replies_of(left, rows, value[order][place].astype(np.float32)))
+
+    sent = written(chunks.mapInArrow(send, "bucket long, chunk long, keys binary, counts binary, ends long"))
+    strings_sent, words_sent = sent.where(F.col("bucket") < base_bucket), sent.where(F.col("bucket") >= base_bucket)
+    replies = "chunk long, bucket long, values binary"
+    word_replies = checkpointed(words_sent.groupBy("bucket").applyInArrow(count_words, replies + ", distinct long, tokens long"))
+    distinct, tokens = word_replies.agg(F.sum("distinct"), F.sum("tokens")).first()
+    ends = sent.agg(F.sum("ends")).first()[0] or 0
     n, v = (tokens or 0) + ends, (distinct or 0) + (ends > 0)
     scale = math.log10(n + 0.1 * (v + 1))
-    word_values = word_totals.select("key", (F.log10(F.col("n") + 0.1) - scale).alias("value"))
+    end = math.log10(ends + 0.1) - scale
+
+    string_totals = checkpointed(strings_sent.groupBy("bucket").applyInArrow(count_strings, "key long, n long"))
     parts = max(partitions(spark), 1 + string_totals.count() // 1_000_000)
-    string_values = _string_values(string_totals, depth, parts)
-    values = words.select("chunk", "kind", "key").join(word_values, "key").unionByName(found.select("chunk", "kind", "key").join(string_values, "key"))
-    unknown, end = math.log10(0.1) - scale, math.log10(ends + 0.1) - scale
+    values = _string_values(string_totals, depth, parts, bits)
+    string_replies = strings_sent.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(value_strings, replies)
+    answered = word_replies.select("chunk", "bucket", "values").unionByName(string_replies)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = [t.lower() for t in left.column("data").to_pylist()]
-        table = [right.filter(pc.equal(right.column("kind"), kind)) for kind in (WORD, STRING)]
-        known = dict(zip(table[WORD].column("key").to_pylist(), table[WORD].column("value").to_pylist(), strict=True))
-        cache: dict[bytes, float] = {}
+        if len(left) != 1:
+            raise RuntimeError("a chunk is not one row")
+        chunk = Chunk.unpack(left.column("blob")[0].as_py())
+        texts, held = split(chunk)
+        reply = dict(zip(right.column("bucket").to_pylist(), right.column("values").to_pylist(), strict=True))
+
+        def back(keys: np.ndarray, first: int, kind: type) -> np.ndarray:
+            """The values that came back for keys, in their own order."""
+            order, there, starts, stops = _dealt(keys, bits)
+            out = np.zeros(len(keys), kind)
+            for b, low, high in zip(there.tolist(), starts.tolist(), stops.tolist(), strict=True):
+                out[order[low:high]] = restored(reply[first + b], kind)
+            return out
+
+        words = _words_of(texts)
+        counts = back(_hashed(words), base_bucket, np.int64)
+        unknown = math.log10(0.1) - scale
+        cache = dict(zip(words, np.where(counts > 0, np.log10(counts + 0.1) - scale, unknown).tolist(), strict=True))
+        del words, counts
         n_tokens, n_known, base = [], [], []
         for text in texts:
-            split = text.split()
-            for w in set(split):
-                if w not in cache:
-                    key = _word_key(w)
-                    cache[w] = known[key - (1 << 64) if key >> 63 else key]
-            own = np.fromiter(map(cache.__getitem__, split), np.float64, len(split))
-            n_tokens.append(len(split) + 1)
-            n_known.append(int((own > unknown + 1e-9).sum()) + (ends > 0))
-            base.append(float(own.sum()) + end)
-        keys, value = table[STRING].column("key").combine_chunks(), table[STRING].column("value").to_numpy()
+            own = [cache[w] for w in text.split()]
+            n_tokens.append(len(own) + 1)
+            n_known.append(len(own) - own.count(unknown) + (ends > 0))
+            base.append(math.fsum(own) + end)
+        del cache
+        keys = _strings_of(texts, depth)[0]
+        value = back(keys, 0, np.float32).astype(np.float64)
+        among = pa.array(keys)
         scores: list[np.ndarray] = []
         for some in _blocks(texts):
-            strings_here, starts = _joined(some, depth)
-            at = pc.index_in(pa.array(strings_here), value_set=keys)
-            if at.null_count:
-                raise RuntimeError("a string of this chunk has no value")
-            scores.append(np.add.reduceat(value[at.to_numpy()], starts))
-        total_score = np.concatenate(scores) if scores else np.zeros(0)
+            found, starts = _joined(some, depth)
+            scores.append(np.add.reduceat(value[pc.index_in(pa.array(found), value_set=among).to_numpy()], starts))
+        total_score = np.concatenate(scores)
         size = np.array([len(t) + 1 for t in texts])
         columns = {
-            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(texts), pa.int64()),
+            "doc_id": pa.array(chunk.doc_ids(), pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(texts), pa.int64()),
             "base_score": pa.array(base, pa.float64()), "score": pa.array(total_score), "bits_per_byte": pa.array(-total_score * math.log2(10) / size),
         }
         return pa.table(columns)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return own.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(score, schema)
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, schema)
