@@ -62,8 +62,8 @@ def test_order_by_bytes_when_hashes_collide(monkeypatch):
     from tracewell.llm import repeats
 
     data = np.frombuffer(b"0123456789" * 3 + b"abcdefghij" * 3, np.uint8)
-    starts = np.array([0, 10, 30, 40, 5])
-    docs = np.array([2, 1, 3, 3, 0])
+    starts = np.array([0, 5, 10, 30, 40])
+    docs = np.array([2, 0, 1, 3, 3])
     want = covered(data, starts, docs, 12).tolist()
     monkeypatch.setattr(repeats, "rolling", lambda d, n: {n[0]: np.zeros(len(d) - n[0] + 1, np.uint64)})
     assert covered(data, starts, docs, 12).tolist() == want == [True, False, False, False, False]

@@ -17,18 +17,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, utf8, written
+from .chunks import Chunk, chunked, restored, squeezed
+from .common import checkpointed, utf8
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of an anchor's key below those that choose its bucket.
-KEY_BITS = 40
-#: Stands for a null id, after all others.
-LAST = (1 << 63) - 1
-_BLOCK = 2_000_000
+KEY_BITS = 32
 
 
 def _power(n: int) -> np.uint64:
@@ -72,36 +69,6 @@ def _least_ahead(h: np.ndarray, width: int) -> np.ndarray:
     return h if n == width else np.minimum(h[: len(h) - (width - n)], h[width - n :])
 
 
-class Chunk:
-    """Some whole documents: ids, sizes and their bytes in one row."""
-
-    def __init__(self, ids: np.ndarray, known: np.ndarray, sizes: np.ndarray, data: bytes):
-        self.ids, self.known, self.sizes, self.data = ids, known, sizes, data
-        self.starts = np.cumsum(sizes) - sizes
-
-    def pack(self) -> bytes:
-        head = np.array([len(self.ids)], np.int64).tobytes()
-        return zstandard.compress(head + self.ids.tobytes() + self.known.tobytes() + self.sizes.tobytes() + self.data, 1)
-
-    @classmethod
-    def unpack(cls, blob: bytes) -> Chunk:
-        raw = zstandard.decompress(blob)
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        ids, known, sizes = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, bool, n, 8 + 8 * n), np.frombuffer(raw, np.int64, n, 8 + 9 * n)
-        return cls(ids, known, sizes, raw[8 + 17 * n :])
-
-    def blocks(self) -> Iterator[tuple[int, int]]:
-        """First and end document of runs of some ``_BLOCK`` bytes."""
-        low, size = 0, 0
-        for i, n in enumerate(self.sizes.tolist()):
-            if size and size + n > _BLOCK:
-                yield low, i
-                low, size = i, 0
-            size += n
-        if low < len(self.sizes):
-            yield low, len(self.sizes)
-
-
 class Anchors:
     """The windows of a run of documents, and for each its least string of ``piece`` bytes.
 
@@ -125,74 +92,45 @@ class Anchors:
         self.windows = np.flatnonzero(inside)
         if not len(self.windows):
             return
-        # the first position from a window on that has its least hash
+        # a string is an anchor if it is the least of a window: then the largest of its windows' least ones is its own
+        held = np.zeros(len(own) + width - 1, np.uint64)
+        held[width - 1 : width - 1 + len(least)] = np.where(inside, least, np.uint64(0))
+        chosen = own == ~_least_ahead(~held, width)
+        hit = np.flatnonzero(chosen)
+        before = np.cumsum(chosen) - chosen
+        # the first anchor from a window on that has its least hash
         least = least[self.windows]
-        place = np.full(len(own) + 1, -1, np.int64)
-        some = np.unique(least)
-        hit = np.flatnonzero(self._member(own, some))
-        place[:] = np.searchsorted(hit, np.arange(len(own) + 1))
-        turn = place[self.windows]
-        left = np.arange(len(turn))
+        turn = before[self.windows]
+        left = np.flatnonzero(own[hit[turn]] != least)
         while len(left):
-            wrong = own[hit[turn[left]]] != least[left]
-            left = left[wrong]
             turn[left] += 1
+            left = left[own[hit[turn[left]]] != least[left]]
         self.anchor, self.key = hit[turn], least
 
-    @staticmethod
-    def _member(values: np.ndarray, some: np.ndarray) -> np.ndarray:
-        """Whether values are among sorted ones, most of them being told apart by a table of bits."""
-        bits = np.zeros(1 << 22, bool)
-        bits[some >> np.uint64(42)] = True
-        maybe = np.flatnonzero(bits[values >> np.uint64(42)])
-        out = np.zeros(len(values), bool)
-        at = np.minimum(np.searchsorted(some, values[maybe]), len(some) - 1)
-        out[maybe] = some[at] == values[maybe]
-        return out
-
 
 def _keys(hashes: np.ndarray, bits: int) -> np.ndarray:
+    hashes = _mixed(hashes)  # least hashes are small; their buckets shall be even
     return (hashes >> np.uint64(64 - bits - KEY_BITS)).astype(np.int64)
 
 
-def _anchor_keys(chunk: Chunk, length: int, piece: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a chunk's anchors, sorted, and which are in more than one of its documents."""
-    keys, docs = [], []
+def _runs(chunk: Chunk, length: int, piece: int, bits: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows under one anchor: key, document, first and last window, and the hashes of these two windows."""
+    parts = [tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))]
     for low, high in chunk.blocks():
         a = Anchors(chunk, low, high, length, piece)
-        if len(a.windows):
-            at, first = np.unique(a.anchor, return_index=True)
-            keys.append(_keys(a.key[first], bits))
-            docs.append(a.doc[at])
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[starts], np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
+        if len(w := a.windows):
+            starts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1] + 1) | (a.anchor[1:] != a.anchor[:-1])]))
+            ends = np.concatenate([starts[1:], [len(w)]]) - 1
+            parts.append((_keys(a.key[starts], bits), a.doc[w[starts]], w[starts] + a.at, w[ends] + a.at, a.whole[w[starts]], a.whole[w[ends]]))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def _segments(chunk: Chunk, repeated: np.ndarray, length: int, piece: int, bits: int):
-    """Runs of windows under one repeated anchor: key, document, first and last window, and two hashes that tell the run's bytes."""
-    parts = []
-    for low, high in chunk.blocks():
-        a = Anchors(chunk, low, high, length, piece)
-        if not len(a.windows):
-            continue
-        key = _keys(a.key, bits)
-        at = np.minimum(np.searchsorted(repeated, key), max(len(repeated) - 1, 0))
-        keep = repeated[at] == key if len(repeated) else np.zeros(len(key), bool)
-        w, anchor, key = a.windows[keep], a.anchor[keep], key[keep]
-        if not len(w):
-            continue
-        first = np.concatenate([[True], (w[1:] != w[:-1] + 1) | (anchor[1:] != anchor[:-1])])
-        starts = np.flatnonzero(first)
-        ends = np.concatenate([starts[1:], [len(w)]]) - 1
-        parts.append((key[starts], a.doc[w[starts]], w[starts] + a.at, w[ends] + a.at, a.whole[w[starts]], a.whole[w[ends]]))
-    if not parts:
-        return None
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and which are in more than one document."""
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[starts], (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts) if len(key) else np.zeros(0, bool))
 
 
 def _cut(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -208,22 +146,21 @@ def covered(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int)
     suffix order the previous smaller document of a run of equal strings is its
     first. Runs are told by 64-bit hashes and then compared byte by byte.
     """
-    hashes = rolling(data, (length,))[length][starts]
+    hashes = np.zeros(len(starts), np.uint64)
+    for low in range(0, len(starts), 100_000):  # starts ascend
+        some = starts[low : low + 100_000]
+        hashes[low : low + 100_000] = rolling(data[some[0] : some[-1] + length], (length,))[length][some - some[0]]
     order = np.argsort(hashes, kind="stable")
-    sorted_hashes = hashes[order]
-    new = np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1]])
+    new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+    del hashes
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)
     lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    words = np.zeros(len(data) - 7, np.uint64)
-    for i in range(8):
-        words = words << np.uint64(8) | data[i : len(data) - 7 + i].astype(np.uint64)
-    steps = [*range(0, length - 7, 8), length - 8]
-    same = np.ones(len(order), bool)
-    for step in dict.fromkeys(steps):
-        same &= words[starts[order] + step] == words[starts[lead] + step]
-    if not same.all():  # two strings of one hash: order by their bytes
-        columns = [words[starts + step] for step in dict.fromkeys(steps)]
-        order = np.lexsort(columns)
-        new = np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)])
+    again = np.flatnonzero(~new)
+    same = all((strings[starts[order[some]]] == strings[starts[lead[some]]]).all() for some in (again[low : low + 50_000] for low in range(0, len(again), 50_000)))
+    del lead, again
+    if not same:  # two strings of one hash: order by their bytes
+        order = np.lexsort(strings[starts].T[::-1])
+        new = np.concatenate([[True], (strings[starts[order[1:]]] != strings[starts[order[:-1]]]).any(1)])
     runs = np.flatnonzero(new)
     least = np.minimum.reduceat(docs[order], runs)
     out = np.zeros(len(order), bool)
@@ -235,7 +172,7 @@ def _intervals(chunk: int, starts: np.ndarray, ends: np.ndarray) -> tuple[int, b
     return chunk, zstandard.compress(np.stack([starts, ends]).astype(np.int64).tobytes(), 1)
 
 
-def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_bytes: int = 16_000_000, bucket_bytes: int = 8_000_000, keep_bytes: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, keep_bytes: bool = False) -> DataFrame:
     """Remove each byte that a string of ``length`` bytes covers which also starts in a document of smaller id.
 
     Returns, per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal
@@ -247,8 +184,8 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
     Other columns are left out. An empty table gives an empty one.
 
     Four steps. Documents are put into chunks, written once. Each chunk sends the
-    keys of its anchors (the least string of ``piece`` bytes of every window), 5
-    bytes each, and learns which of them other documents have; two equal windows
+    keys of its anchors (the least string of ``piece`` bytes of every window)
+    and learns which of them other documents have; two equal windows
     have the same anchor, so no match is lost. Windows under such anchors are then
     sent with their bytes, each distinct run of them once for a chunk, which
     decides the other copies itself. Where they meet they are put in order, and
@@ -257,50 +194,25 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
     """
     if not 8 <= piece < length or length - piece > 200:
         raise ValueError("piece must be at least 8 and below length, by 200 at most")
-    shift = 8 * KEY_BITS // 8
+    shift = KEY_BITS
     total = docs.agg(F.sum(F.octet_length(utf8(F.col("text"))))).first()[0] or 0
     bits = max(1, math.ceil(math.log2(max(total, 1) / bucket_bytes))) if total > bucket_bytes else 1
 
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        ids: list[int | None] = []
-        texts: list[bytes] = []
-        size = 0
-
-        def row() -> pa.RecordBatch:
-            chunk = Chunk(np.array([LAST if i is None else i for i in ids], np.int64), np.array([i is not None for i in ids], bool), np.array([len(t) for t in texts], np.int64), b"".join(texts))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([chunk.pack()], pa.binary())], ["chunk", "blob"])
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
-                if size >= chunk_bytes or len(ids) >= 1_000_000:
-                    yield row()
-                    number += 1
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield row()
-
     def send_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, several = _anchor_keys(Chunk.unpack(blob), length, piece, bits)
+                keys, several = _distinct(*_runs(Chunk.unpack(blob), length, piece, bits)[:2])
                 buckets, starts = np.unique(keys >> shift, return_index=True)
                 ends = [*starts[1:].tolist(), len(keys)]
-                low = (keys & ((1 << KEY_BITS) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
-                packed = [low[a:b].tobytes() + np.packbits(several[a:b]).tobytes() for a, b in zip(starts.tolist(), ends, strict=True)]
+                packed = [(squeezed(np.diff(keys[a:b] & ((1 << KEY_BITS) - 1), prepend=0).astype(np.uint32)), np.packbits(several[a:b]).tobytes()) for a, b in zip(starts.tolist(), ends, strict=True)]
                 n = len(buckets)
                 sizes = [b - a for a, b in zip(starts.tolist(), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array([number] * n, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "chunk", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array([number] * n, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1))], ["bucket", "chunk", "n", "keys", "several"])
 
     def match_keys(group: pa.Table) -> pa.Table:
         parts = []
-        for n, blob in zip(group.column("n").to_pylist(), group.column("keys").to_pylist(), strict=True):
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n).reshape(n, 5)
-            parts.append((wide.view(np.int64).ravel(), np.unpackbits(np.frombuffer(blob, np.uint8, offset=5 * n), count=n).astype(bool)))
+        for n, blob, flags in zip(*(group.column(c).to_pylist() for c in ("n", "keys", "several")), strict=True):
+            parts.append((np.cumsum(restored(blob, np.uint32).astype(np.int64)), np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)))
         keys = np.concatenate([k for k, _ in parts])
         several = np.concatenate([s for _, s in parts])
         order = np.argsort(keys, kind="stable")
@@ -315,18 +227,20 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
         return pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk"), "shared": pa.array(flags, pa.binary())})
 
     def send_runs(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, bytes]] = []
+        found: list[tuple[int, int, bytes, bytes | None]] = []
         for number, blob in zip(left.column("chunk").to_pylist(), left.column("blob").to_pylist(), strict=True):
             chunk = Chunk.unpack(blob)
-            keys, _ = _anchor_keys(chunk, length, piece, bits)
+            runs = _runs(chunk, length, piece, bits)
+            keys = np.unique(runs[0])
             reply = dict(zip(right.column("bucket").to_pylist(), right.column("shared").to_pylist(), strict=True))
             buckets, starts = np.unique(keys >> shift, return_index=True)
             shared = np.zeros(len(keys), bool)
             for bucket, a, b in zip(buckets.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
                 shared[a:b] = np.unpackbits(np.frombuffer(reply[bucket], np.uint8), count=b - a)
-            if (runs := _segments(chunk, keys[shared], length, piece, bits)) is None:
+            repeated = shared[np.searchsorted(keys, runs[0])]
+            if not repeated.any():
                 continue
-            key, doc, first, last, one, two = runs
+            key, doc, first, last, one, two = (c[repeated] for c in runs)
             rank = chunk.ids[doc]
             # of runs of the same bytes the least document's is sent; larger ones are covered
             whole = _mixed(one * np.uint64(3) + (two ^ (two >> np.uint64(7))) * BASE + (last - first).astype(np.uint64))
@@ -336,7 +250,7 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
             larger = np.zeros(len(order), bool)
             larger[order] = rank[order] > lead
             if larger.any():
-                found.append((-1, *_intervals(number, first[larger], last[larger] + length)))
+                found.append((-1 - number, *_intervals(number, first[larger], last[larger] + length), None))
             own = np.flatnonzero(~larger)
             own = own[np.argsort(key[own], kind="stable")]
             bucket = key[own] >> shift
@@ -345,20 +259,22 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True):
                 some = own[a:b]
                 sizes = last[some] - first[some] + length
-                head = np.array([len(some)], np.int64).tobytes() + rank[some].tobytes() + first[some].astype(np.int64).tobytes() + sizes.astype(np.uint8).tobytes()
-                found.append((int(bucket[a]), number, zstandard.compress(head + _cut(data, first[some], sizes).tobytes(), 1)))
-        return pa.table({"bucket": pa.array([f[0] for f in found], pa.int64()), "chunk": pa.array([f[1] for f in found], pa.int64()), "blob": pa.array([f[2] for f in found], pa.binary())})
+                text = zstandard.compress(sizes.astype(np.uint8).tobytes() + _cut(data, first[some], sizes).tobytes(), 3)
+                found.append((int(bucket[a]), number, squeezed(np.stack([rank[some], first[some]], 1).ravel().astype(np.int64)), text))
+        return pa.table({"bucket": pa.array([f[0] for f in found], pa.int64()), "chunk": pa.array([f[1] for f in found], pa.int64()), "places": pa.array([f[2] for f in found], pa.binary()), "text": pa.array([f[3] for f in found], pa.binary())})
 
     def match_runs(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() < 0:  # what a chunk has decided itself
+            return pa.table({"chunk": group.column("chunk"), "spans": group.column("places")})
         rank, first, sizes, text, counts = [], [], [], [], []
-        for blob in group.column("blob").to_pylist():
-            raw = zstandard.decompress(blob)
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            rank.append(np.frombuffer(raw, np.int64, n, 8))
-            first.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
-            sizes.append(np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64))
-            text.append(np.frombuffer(raw, np.uint8, offset=8 + 17 * n))
-            counts.append(n)
+        for places, blob in zip(group.column("places").to_pylist(), group.column("text").to_pylist(), strict=True):
+            both = restored(places, np.int64).reshape(-1, 2)
+            raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+            rank.append(both[:, 0])
+            first.append(both[:, 1])
+            counts.append(len(both))
+            sizes.append(raw[: len(both)].astype(np.int64))
+            text.append(raw[len(both) :])
         all_sizes = np.concatenate(sizes)
         windows = all_sizes - length + 1
         begin = np.cumsum(all_sizes) - all_sizes
@@ -401,12 +317,10 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes]
         return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))})
 
-    chunks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("data")).mapInArrow(gather, "chunk long, blob binary"))
-    keys = chunks.mapInArrow(send_keys, "bucket long, chunk long, n long, keys binary")
+    chunks = chunked(docs, chunk_bytes)
+    keys = chunks.mapInArrow(send_keys, "bucket long, chunk long, n long, keys binary, several binary")
     replies = keys.groupBy("bucket").applyInArrow(match_keys, "bucket long, chunk long, shared binary")
-    runs = written(chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send_runs, "bucket long, chunk long, blob binary"))
-    found = runs.where("bucket >= 0").groupBy("bucket").applyInArrow(match_runs, "chunk long, spans binary")
-    local = runs.where("bucket < 0").select("chunk", F.col("blob").alias("spans"))
-    spans = checkpointed(found.unionByName(local))
+    runs = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send_runs, "bucket long, chunk long, places binary, text binary")
+    spans = checkpointed(runs.groupBy("bucket").applyInArrow(match_runs, "chunk long, spans binary"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     return chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(finish, schema)
