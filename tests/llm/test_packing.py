@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tracewell.llm.packing import pack
+from tracewell.llm.token_ids import TokenIds
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -57,3 +59,14 @@ def test_crc_is_that_of_the_ids(spark):
 
     r = pack(spark.createDataFrame([(1, "hello world")], "doc_id long, text string"), PATH).withColumn("crc", F.crc32("ids")).first()
     assert r.crc == zlib.crc32(bytes(r.ids))
+
+
+def test_ids_of_odd_texts():
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["", " ", "a, b. c", "x  y", " \n z", "tab\t q ", "<|endoftext|> a<|endoftext|>b  <|endoftext|>", "1, 2. é, ü.  .", "nbsp\xa0 end", "...", ", .", "a" * 90 + ", " + "b" * 90 + "."]
+    r = random.Random(0)
+    parts = [*"ab'lrves \n\t1.=é日<|>ZĐ…²\xa0\x1c-,\"(", "  ", "\n\n", "'s", "'ll", " '", "’s", "\u3000"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(5000)]
+    encoder = TokenIds(PATH, pieces=3000)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.of_batch([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

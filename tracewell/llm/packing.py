@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .bpe import PieceTable
-from .common import written
+from .common import utf8, written
+from .token_ids import TokenIds
 
 #: A piece: doc_id, start, length, ids (little-endian unsigned 32-bit), tokens of its document.
 Piece = tuple[int | None, int, int, bytes, int]
@@ -21,20 +20,14 @@ Piece = tuple[int | None, int, int, bytes, int]
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())]
 
-_tables: dict[str, PieceTable] = {}
+_encoders: dict[str, TokenIds] = {}
 
 
-def ids_of(path: str) -> PieceTable:
-    """Token ids of texts by the tokenizers library, as little-endian unsigned 32-bit numbers."""
-    if path not in _tables:
-        tokenizer = Tokenizer.from_file(path)
-
-        def encode(texts: list[str]) -> Iterator[bytes]:
-            for x in tokenizer.encode_batch(texts, add_special_tokens=False):
-                yield np.array(x.ids, "<u4").tobytes()
-
-        _tables[path] = PieceTable(encode)
-    return _tables[path]
+def ids_of(path: str) -> TokenIds:
+    """The encoder of a vocabulary file, one for each Python process."""
+    if path not in _encoders:
+        _encoders[path] = TokenIds(path)
+    return _encoders[path]
 
 
 class Packer:
@@ -131,10 +124,10 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0,
         packer, out = Packer(window, open_windows, least_cut), _Out(TaskContext.get().partitionId() << 32)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for low in range(0, len(texts), 256):  # few long texts at once
-                for doc_id, ids in zip(doc_ids[low : low + 256], encode(texts[low : low + 256]), strict=True):
-                    ids += end
+            for low in range(0, len(doc_ids), 256):  # few long texts at once
+                texts = batch.column(1).slice(low, 256).to_pylist()
+                for doc_id, found in zip(doc_ids[low : low + 256], encode(texts), strict=True):
+                    ids = found.astype("<u4").tobytes() + end
                     tokens = len(ids) // 4
                     for start in range(0, tokens, window):
                         length = min(window, tokens - start)
@@ -161,7 +154,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0,
         if out.rows:
             yield out.batch()
 
-    made = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, PIECES + ", open boolean"))
+    made = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("data")).mapInArrow(first, PIECES + ", open boolean"))
     still_open = made.where("open")
     tasks = 1 + still_open.select("sequence_id").distinct().count() // merge_windows
     merged = still_open.repartition(tasks, F.col("sequence_id")).sortWithinPartitions("sequence_id", "offset").mapInArrow(merge, PIECES + ", open boolean")
