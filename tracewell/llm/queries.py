@@ -83,6 +83,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+OP2_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) as (
+  select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a
+), n as (select a, count(*) as n from links group by a)
+select r.a as vec_id, coalesce(max(n), 0)::bigint as n_links, min(r.b) as component_id, r.a = min(r.b) as kept
+from reach r left join n on n.a = r.a group by r.a
+"""
+
 OP9_SQL = """
 select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
   count(*) over (partition by coalesce(text, '')) as group_size,
@@ -135,4 +148,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+SQL: dict[str, str] = {"op2_embedding_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
