@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id
@@ -23,6 +24,12 @@ def terms_of(text: str | None) -> list[str]:
     return TERM.findall((text or "").lower())
 
 
+def least_quadruple(text: str | None) -> int:
+    """Least hash of the text's runs of four words, all words if there are fewer."""
+    words = (text or "").lower().split()
+    return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))), default=0) >> 1
+
+
 class BlockMaxIndex:
     """Postings of unit vectors by term, in blocks of rows, with each block's largest weight.
 
@@ -137,13 +144,15 @@ class ToxicityModel:
         return known
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, examples: int = 8192, most_terms: int = 512, least_gain: float = 40.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, examples: int = 16384, most_terms: int = 512, least_gain: float = 40.0) -> ToxicityModel:
     """A model from a bounded sample of labelled rows.
 
     Labelled rows whose CRC-32 of the id as text is not divisible by ``folds``
     are candidates, and the ``examples`` of least hash of the id are taken. Of
     their terms those stay whose presence tells the label apart: G-squared of at
-    least ``least_gain``, the ``most_terms`` of highest. Inverse document
+    least ``least_gain``, the ``most_terms`` of highest; examples that share the
+    least hash of their word quadruples, as near copies do, count as one together,
+    so that a group of copies doesn't fill the vocabulary. Inverse document
     frequencies of these terms count all of ``docs``. What reaches the driver is
     bounded by ``examples`` times ``most_terms``.
 
@@ -155,30 +164,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     chosen = fold.orderBy(F.xxhash64("id"), "id").limit(examples)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id")
 
+    def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [least_quadruple(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "sign"])
+
+    signs = texts.select("id", "text").mapInArrow(signed, "id long, sign long")
+    alone = signs.select("id", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("sign"))).alias("weight")).groupBy("id").agg(F.max("weight").alias("weight"))
+    texts = texts.join(F.broadcast(alone), "id")
+
     def presence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with_label: list[Counter] = [Counter(), Counter()]
-        total = [0, 0]
+        with_label: list[dict[str, float]] = [defaultdict(float), defaultdict(float)]
+        total = [0.0, 0.0]
 
         def rows() -> pa.RecordBatch:
             names = list(with_label[0].keys() | with_label[1].keys()) + [""]
-            columns = [pa.array([c[t] for t in names[:-1]] + [n], pa.int64()) for c, n in zip(with_label, total, strict=True)]
+            columns = [pa.array([c.get(t, 0.0) for t in names[:-1]] + [n], pa.float64()) for c, n in zip(with_label, total, strict=True)]
             with_label[0].clear()
             with_label[1].clear()
-            total[:] = 0, 0
+            total[:] = 0.0, 0.0
             return pa.RecordBatch.from_arrays([pa.array(names), *columns], ["term", "n0", "n1"])
 
         for batch in batches:
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                with_label[y].update(set(terms_of(text)))
-                total[y] += 1
+            for text, y, weight in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                counts = with_label[y]
+                for term in set(terms_of(text)):
+                    counts[term] += weight
+                total[y] += weight
                 if len(with_label[0]) + len(with_label[1]) > 200_000:
                     yield rows()
         yield rows()
 
-    counted = texts.select("id", "text", "y").mapInArrow(presence, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = texts.select("id", "text", "y", "weight").mapInArrow(presence, "term string, n0 double, n1 double").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counted = counted.persist()
     whole = counted.where("term = ''").first()
-    n0, n1 = (whole.n0, whole.n1) if whole else (0, 0)
+    n0, n1 = (whole.n0, whole.n1) if whole else (0.0, 0.0)
     gain = _gain(n0, n1)
     kept = counted.where("term <> ''").withColumn("gain", gain).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(most_terms).collect()
     counted.unpersist()
@@ -208,12 +228,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     return ToxicityModel(vocabulary, idf, [r.id for r in rows], [r.y for r in rows], [dict(zip(r.terms, r.counts, strict=True)) for r in rows])
 
 
-def _gain(n0: int, n1: int):
+def _gain(n0: float, n1: float):
     """G-squared of a term's presence against the label."""
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
-    n = float(max(n0 + n1, 1))
-    part = lambda x, row, column: F.when(x > 0, x * F.log(x * F.lit(n) / (row * column))).otherwise(0.0)
+    n = max(n0 + n1, 1.0)
+    part = lambda x, row, column: F.when(x > 1e-9, x * F.log(F.try_divide(x * F.lit(n), row * column))).otherwise(0.0)
     return 2 * (part(a, a + b, a + c) + part(b, a + b, b + d) + part(c, c + d, a + c) + part(d, c + d, b + d))
 
 
