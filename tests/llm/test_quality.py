@@ -7,7 +7,8 @@ from tracewell.llm.quality import features, fit, fit_ordinal, graded
 
 def test_features():
     at, weight = features(b"A b a %% c|d", 1000)
-    assert len(set(at.tolist())) == len(at) and abs(float((weight**2).sum()) - 1) < 1e-5
+    assert abs(float((weight[:-2] ** 2).sum()) - 1) < 1e-5 and weight[-2:].tolist() == [1.0, 1.0]
+    assert features(b"a a a b", 1000)[0][-2:].tolist() != features(b"a b c d", 1000)[0][-2:].tolist()
     assert len(features(b" \n", 1000)[0]) == 0
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,21 @@ _MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
 
 
 def features(data: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and runs of marks of a text: distinct numbers, and weights of norm 1."""
-    hashes = [zlib.crc32(w) for w in data.lower().split()] + [zlib.crc32(m, 1) for m in _MARKS.findall(data)]
-    if not hashes:
+    """Hashed words, runs of marks and repetition of a text: numbers and weights.
+
+    Words and marks have weights of norm 1 together. The tenths of words that
+    repeat the one before, and of words that are distinct, are one number each.
+    """
+    words = data.lower().split()
+    hashes = [zlib.crc32(w) for w in words] + [zlib.crc32(m, 1) for m in _MARKS.findall(data)]
+    if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     at, n = np.unique(np.array(hashes, np.int64) % dims, return_counts=True)
     weight = 1 + np.log(n)
-    return at.astype(np.int32), (weight / np.sqrt((weight**2).sum())).astype(np.float32)
+    again = 10 * sum(map(eq, words, words[1:])) // len(words)
+    fresh = 10 * len(set(words)) // len(words)
+    levels = [zlib.crc32(b"again%d" % again, 2) % dims, zlib.crc32(b"fresh%d" % fresh, 2) % dims]
+    return np.concatenate([at, levels]).astype(np.int32), np.concatenate([weight / np.sqrt((weight**2).sum()), [1.0, 1.0]]).astype(np.float32)
 
 
 @dataclass
@@ -79,7 +88,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray, float]], dims: int, rou
     return OrdinalModel(grades, thresholds, free[k - 1 :])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, examples: int = 4096, dims: int = 1 << 15) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, examples: int = 8192, dims: int = 1 << 15) -> OrdinalModel:
     """A model from a bounded sample of rated rows.
 
     Candidates are rated rows whose CRC-32 of the id as text is not divisible by
