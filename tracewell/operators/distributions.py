@@ -34,17 +34,19 @@ def forward_pairs(hist: DataFrame) -> DataFrame:
 
     The histogram meets itself on trace and entity only. A boundary also carries
     one empty marker of count 0, so that pairs without a common entity are there
-    as well. Work is pairs times common entities, whatever the vocabulary.
+    as well. Work is pairs times common entities, whatever the vocabulary. Both
+    sides are the same plan under two names, so that their exchange is made once.
     """
-    total = F.sum("c").over(Window.partitionBy("trace_id", "boundary_index"))
-    rows = hist.select("trace_id", "boundary_index", "entity", "c", total.alias("n"))
-    markers = hist.groupBy("trace_id", "boundary_index").agg(F.sum("c").alias("n")).select("trace_id", "boundary_index", F.lit("").alias("entity"), F.lit(0).cast("long").alias("c"), "n")
-    full = rows.unionByName(markers)
-    left = full.select("trace_id", "entity", F.col("boundary_index").alias("i"), F.col("c").alias("ci"), F.col("n").alias("ni"))
-    right = full.select("trace_id", "entity", F.col("boundary_index").alias("j"), F.col("c").alias("cj"), F.col("n").alias("nj"))
-    met = left.join(right, ["trace_id", "entity"]).where("i < j")
-    shared = met.groupBy("trace_id", "i", "j", "ni", "nj").agg(F.sum(F.least(F.col("ci") * F.col("nj"), F.col("cj") * F.col("ni"))).alias("shared"))
-    return shared.select("trace_id", "i", "j", (F.col("ni") * F.col("nj") - F.col("shared")).alias("num"), (F.col("ni") * F.col("nj")).alias("den"))
+    boundaries = hist.groupBy("trace_id", "boundary_index").agg(F.sum("c").alias("n"), F.collect_list(F.struct("entity", "c")).alias("cells"))
+    marker = F.array(F.struct(F.lit("").alias("entity"), F.lit(0).cast("long").alias("c")))
+    cells = boundaries.select("trace_id", "boundary_index", "n", F.explode(F.concat("cells", marker)).alias("cell")).select("trace_id", "boundary_index", "n", "cell.entity", "cell.c")
+    x, y = cells.alias("x"), cells.alias("y")
+    met = x.join(y, (F.col("x.trace_id") == F.col("y.trace_id")) & (F.col("x.entity") == F.col("y.entity")) & (F.col("x.boundary_index") < F.col("y.boundary_index")))
+    shared = met.groupBy(F.col("x.trace_id"), F.col("x.boundary_index").alias("i"), F.col("y.boundary_index").alias("j"), F.col("x.n").alias("ni"), F.col("y.n").alias("nj")).agg(
+        F.sum(F.least(F.col("x.c") * F.col("y.n"), F.col("y.c") * F.col("x.n"))).alias("shared")
+    )
+    size = F.col("ni") * F.col("nj")
+    return shared.select("trace_id", "i", "j", (size - F.col("shared")).alias("num"), size.alias("den"))
 
 
 def tvd() -> Column:
