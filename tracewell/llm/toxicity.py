@@ -38,7 +38,7 @@ class BlockMaxIndex:
     its result is that of a full scan.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64):
+    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 512):
         self.n, self.block = len(vectors), block
         self.blocks = max(1, -(-self.n // block))
         self.top = np.zeros((n_terms, self.blocks))
