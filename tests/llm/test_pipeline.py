@@ -27,7 +27,7 @@ def folder(spark, tmp_path_factory):
         rows.append((1000 + k, rows[i][1] if k % 2 else rows[i][1] + " more", "en", "s1", 0, None))
     rows += [(2000, None, None, None, None, None), (2001, "", "en", None, 0, None), (None, "null id", "en", "s0", 7, None), (7, rows[7][1], "en", "s1", 0, "extra")]
     where = tmp_path_factory.mktemp("tables")
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies string").repartition(3).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, turn string").repartition(3).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{where}/labels.parquet")
     return str(where)
 

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, utf8, written
+from .common import checkpointed, unused, utf8, written
 
 _BLOCKS = "row_id long, at int, n_blocks int, own long, local long, block binary, doc_id long, text_sha256 string"
 
@@ -106,9 +106,10 @@ def exact_groups(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
 
 def without_copies(docs: DataFrame, block_bytes: int = 2048) -> DataFrame:
     """``docs``, all columns, with one row of each group of equal texts: that of :func:`exact_groups`."""
-    kept = exact_groups(docs, block_bytes).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.sha2(utf8(F.col("text")), 256) == F.col("_kept_text"))
+    key, digest, turn = (unused(docs, c) for c in ("kept_id", "kept_text", "turn"))
+    kept = exact_groups(docs, block_bytes).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.sha2(utf8(F.col("text")), 256) == F.col(digest))
     joined = docs.join(kept, same, "left_semi")
     # rows that agree in id and text are copies as well
     one = Window.partitionBy("doc_id", F.sha2(utf8(F.col("text")), 256)).orderBy(F.lit(1))
-    return joined.withColumn("_turn", F.row_number().over(one)).where("_turn = 1").drop("_turn")
+    return joined.withColumn(turn, F.row_number().over(one)).where(F.col(turn) == 1).drop(turn)

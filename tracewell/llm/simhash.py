@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, utf8
+from .common import checkpointed, unused, utf8
 from .components import Union, components, dealt, whole_groups
 
 BITS = 64
@@ -158,5 +158,6 @@ def one_of_each_group(docs: DataFrame, radius: int = 4) -> DataFrame:
     Rows of one id stay or go together; of null ids those stay that link with no
     other id.
     """
-    groups = simhash_groups(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(groups.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    key = unused(docs, "kept_id")
+    groups = simhash_groups(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key))
+    return docs.join(groups.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_semi")
