@@ -70,8 +70,11 @@ class BlockMaxIndex:
                 scores[self.rows[t][low:high] - b * self.block] += w * self.weights[t][low:high]
             scores = np.round(scores, 12)
             least = found[-1][0] if len(found) == k else 0.0
+            if leave_out // self.block == b:
+                scores[leave_out % self.block] = 0
             at = np.flatnonzero((scores > 0) & (scores >= least))
-            found += [(float(scores[i]), int(b) * self.block + int(i)) for i in at if int(b) * self.block + int(i) != leave_out]
+            best = at[np.lexsort((at, -scores[at]))[:k]]
+            found += zip(scores[best].tolist(), (best + b * self.block).tolist(), strict=True)
             found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
         return found
 
