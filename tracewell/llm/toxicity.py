@@ -1,4 +1,7 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine."""
+"""Toxicity by the nearest labelled examples under TF-IDF cosine.
+
+The cosine is exact over the terms that :func:`fit` selects, not over whole texts.
+"""
 
 from __future__ import annotations
 
