@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +90,28 @@ def test_divergences_with_missing_arms(spark):
     assert abs(got[0].resampling_kl_keep_remove - kl) < 1e-12
 
 
+def test_matched_counts_and_replacements(spark):
+    rows = [(1, 0, i, "AB"[i % 2] if i else "C", True, 0.1, f"s{i % 4}") for i in range(12)] + [(1, 0, 12, "A", True, 0.9, "s0"), (1, 0, 13, "D", False, 0.9, "")]
+    rows += [(1, 1, i, "A", True, None, None) for i in range(16)] + [(1, 2, 0, "E", True, None, None)]
+    df = spark.createDataFrame(rows, "trace_id long, boundary_index int, rollout_index int, entity string, valid boolean, similarity float, first_sentence string").withColumn("is_correct", F.lit(True))
+    last = spark.createDataFrame([(1, 2)], "trace_id long, last_boundary int")
+    got = {x.sentence_index: x for x in importance.importance_table(df, last, 0.5).collect()}
+    own = got[0]
+    assert own.keep_counts == {"A": 16} and own.counterfactual_counts == {"A": 5, "B": 6, "C": 1} and own.similar_counts == {"A": 1} and own.remove_counts == {"A": 6, "B": 6, "C": 1}
+    assert own.unique_replacement_fraction == 4 / 13 and got[1].unique_replacement_fraction is None and got[1].similar_counts == {}
+    assert own.matched_n is None and own.matched_kl_cf_keep is None and own.matched_n10 == 10 and own.matched_effective_keep10 == 1.0
+    draw = sorted(range(12), key=lambda i: hashlib.sha256(f"1:0:counterfactual:{i}".encode()).hexdigest())[:10]
+    p = Counter(rows[i][3] for i in draw)
+    effective = 2 ** -sum(c / 10 * math.log2(c / 10) for c in p.values())
+    assert abs(own.matched_effective_counterfactual10 - effective) < 1e-12 and abs(own.matched_collapse_ratio10 - effective) < 1e-12 and own.matched_is_anchor10 == (effective >= 2)
+
+    def kl(words):
+        a, b = ({e: (c.get(e, 0) + 0.5) / (10 + 0.5 * len(words)) for e in words} for c in (p, {"A": 10}))
+        return sum(a[e] * math.log2(a[e] / b[e]) for e in words)
+
+    assert abs(own.matched_kl_cf_keep10 - kl({*p, "A"})) < 1e-12 and abs(own.matched_kl_cf_keep_fixed10 - kl("ABCE")) < 1e-12
+
+
 def test_order_statistics(spark):
     df = spark.createDataFrame([("a", v) for v in (1, 2, 3, 10)] + [("b", 5), ("c", None)], "k string, v int")
     assert {x.k: x.upper_median for x in ranking.upper_median(df, ["k"], "v").collect()} == {"a": 3, "b": 5}

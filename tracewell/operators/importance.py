@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distributions import arm_tvd, histogram, jensen_shannon, matched_arms, smoothed_kl, two_arms
+from .distributions import arm_tvd, histogram, histogram_map, jensen_shannon, matched_arms, smoothed_kl, two_arms
 
 SENTENCE = ("trace_id", "sentence_index")
 
@@ -71,24 +71,47 @@ def accuracies(placed: DataFrame, correct: str = "is_correct", by: Sequence[str]
     return rows.withColumns({"resampling_accuracy_delta": F.col("keep_accuracy") - F.col("remove_accuracy"), "counterfactual_accuracy_delta": F.col("keep_accuracy") - F.col("counterfactual_accuracy")})
 
 
-def matched(placed: DataFrame, n: int, key: Column, keep_most: float = 3.0, least_ratio: float = 2.0, by: Sequence[str] = SENTENCE) -> DataFrame:
-    """Effective answers of the keep and counterfactual arms at ``n`` samples each, their ratio, and whether the sentence is an anchor.
+def matched(placed: DataFrame, n: int, key: Column, keep_most: float = 3.0, least_ratio: float = 2.0, vocabulary: DataFrame | None = None, by: Sequence[str] = SENTENCE) -> DataFrame:
+    """Effective answers of the keep and counterfactual arms at ``n`` samples each, their ratio, KL, and whether the sentence is an anchor.
 
     Samples are drawn by the least hash of ``key``, so the draw does not depend on
-    the order of rows. Sentences with fewer samples in an arm have no row.
+    the order of rows. Sentences with fewer samples in an arm have no row. With
+    ``vocabulary`` (trace_id, vocab_size) there is KL over that support as well.
     """
     arms = placed.where("valid and coalesce(entity, '') <> '' and arm in ('keep', 'counterfactual')")
     both = arms.withColumn("_arms", F.size(F.collect_set("arm").over(Window.partitionBy(*by)))).where("_arms = 2").drop("_arms")
-    drawn = histogram(matched_arms(both, by, "arm", n, key), [*by, "arm"])
-    share = F.col("c") / n
-    effective = lambda arm: F.pow(F.lit(2.0), -F.sum(F.when(F.col("arm") == arm, share * F.log2(share)).otherwise(0.0)))
-    rows = drawn.groupBy(*by).agg(effective("keep").alias("matched_effective_keep"), effective("counterfactual").alias("matched_effective_counterfactual"))
+    drawn = two_arms(matched_arms(both, by, "arm", n, key), by, "arm", "counterfactual", "keep")
+    effective = lambda c: F.pow(F.lit(2.0), -F.sum(F.when(F.col(c) > 0, F.col(c) / n * F.log2(F.col(c) / n)).otherwise(0.0)))
+    found = [effective("q").alias("matched_effective_keep"), effective("p").alias("matched_effective_counterfactual"), smoothed_kl("p", "q", "n", "m").alias("matched_kl_cf_keep")]
+    if vocabulary is not None:
+        drawn = drawn.join(vocabulary, "trace_id")
+        found.append(smoothed_kl("p", "q", "n", "m", support=F.max("vocab_size")).alias("matched_kl_cf_keep_fixed"))
+    rows = drawn.groupBy(*by).agg(*found)
     ratio = F.col("matched_effective_counterfactual") / F.col("matched_effective_keep")
     return rows.withColumns({"matched_n": F.lit(n), "matched_collapse_ratio": ratio, "matched_is_anchor": (F.col("matched_effective_keep") <= keep_most) & (ratio >= least_ratio)})
 
 
+def counts_by_arm(placed: DataFrame, by: Sequence[str] = SENTENCE) -> DataFrame:
+    """Histogram of each arm's valid samples as a map, its keys in order; null where an arm has none."""
+    maps = histogram_map(histogram(placed.where("valid"), [*by, "arm"]), [*by, "arm"])
+    own = lambda arm: F.first(F.when(F.col("arm") == arm, F.col("counts")), ignorenulls=True).alias(f"{arm}_counts")
+    return maps.groupBy(*by).agg(*(own(arm) for arm in ("keep", "remove", "counterfactual", "similar")))
+
+
+def unique_replacements(placed: DataFrame, sentence: str = "first_sentence", by: Sequence[str] = SENTENCE) -> DataFrame:
+    """Distinct share of the sentences that scored samples wrote instead, empty ones left out."""
+    rows = placed.where(F.col("arm").isin("counterfactual", "similar") & (F.coalesce(F.col(sentence), F.lit("")) != ""))
+    return rows.groupBy(*by).agg((F.count_distinct(sentence) / F.count(F.lit(1))).alias("unique_replacement_fraction"))
+
+
 def importance_table(samples: DataFrame, last: DataFrame, threshold: float, correct: str = "is_correct") -> DataFrame:
-    """One row for each sentence of each trace, with all of its figures; arms that are missing count as empty."""
+    """One row for each sentence of each trace, with its figures; arms that are missing count as empty.
+
+    The matched figures (at 16 samples, and at 10 with the suffix 10) are drawn by
+    ``rollout_index``, a number unique within trace and boundary, and the share of
+    unique replacements reads ``first_sentence``; without such a column in
+    ``samples`` its figures are null.
+    """
     placed = sentence_samples(samples, last, F.lit(threshold))
     words = vocabulary(samples)
     out = last.select("trace_id", (F.col("last_boundary")).alias("n_sentences"), F.explode(F.sequence(F.lit(0), F.col("last_boundary") - 1)).alias("sentence_index")).where("n_sentences > 0")
@@ -96,6 +119,22 @@ def importance_table(samples: DataFrame, last: DataFrame, threshold: float, corr
     resampling = divergences(placed, "keep", "remove", words).select(*SENTENCE, F.col("kl").alias("resampling_kl_keep_remove"), F.col("kl_back").alias("resampling_kl_remove_keep"), F.col("jsd").alias("resampling_jsd"), F.col("kl_back_fixed").alias("resampling_kl_remove_keep_fixed"))
     against = divergences(placed, "keep", "counterfactual", words).select(*SENTENCE, F.col("kl").alias("counterfactual_kl_keep_cf"), F.col("kl_back").alias("counterfactual_kl_cf_keep"), F.col("jsd").alias("counterfactual_jsd"), F.col("kl_fixed").alias("counterfactual_kl_keep_cf_fixed"), F.col("kl_back_fixed").alias("counterfactual_kl_cf_keep_fixed"))
     within = divergences(placed, "similar", "counterfactual").select(*SENTENCE, F.col("tvd").alias("counterfactual_tvd"))
-    for part in (arm_counts(placed), accuracies(placed, correct), resampling, against, within):
+    parts = [arm_counts(placed), accuracies(placed, correct), resampling, against, within, counts_by_arm(placed)]
+    drawn = ["matched_n", "matched_effective_keep", "matched_effective_counterfactual", "matched_collapse_ratio", "matched_is_anchor", "matched_kl_cf_keep", "matched_kl_cf_keep_fixed"]
+    kinds = ["int", "double", "double", "double", "boolean", "double", "double"]
+    missing = {}
+    for n, suffix in ((16, ""), (10, "10")):
+        if "rollout_index" in samples.columns:
+            key = F.concat_ws(":", *(F.col(c).cast("string") for c in (*SENTENCE, "arm", "rollout_index")))
+            parts.append(matched(placed, n, key, vocabulary=words).select(*SENTENCE, *(F.col(c).alias(c + suffix) for c in drawn)))
+        else:
+            missing |= {c + suffix: F.lit(None).cast(kind) for c, kind in zip(drawn, kinds, strict=True)}
+    if "first_sentence" in samples.columns:
+        parts.append(unique_replacements(placed))
+    else:
+        missing["unique_replacement_fraction"] = F.lit(None).cast("double")
+    for part in parts:
         out = out.join(part, list(SENTENCE), "left")
-    return out.fillna(0, ["remove_n", "keep_n", "counterfactual_n", "similar_n", "remove_invalid", "keep_invalid"]).withColumn("threshold", F.lit(threshold))
+    empty = F.create_map().cast("map<string,bigint>")
+    counts = {f"{arm}_counts": F.coalesce(f"{arm}_counts", empty) for arm in ("keep", "remove", "counterfactual", "similar")}
+    return out.fillna(0, ["remove_n", "keep_n", "counterfactual_n", "similar_n", "remove_invalid", "keep_invalid"]).withColumns(counts | missing | {"threshold": F.lit(threshold)})

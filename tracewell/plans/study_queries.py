@@ -440,7 +440,7 @@ def accuracy_delta(spark, d):
 
 @query()
 def importance_table(spark, d):
-    rows, _ = _placed(spark, d)
+    rows = numbered_samples(spark, d).select("trace_id", "boundary_index", "rollout_index", "entity", "valid", "similarity", F.substring("entity", 1, 1).alias("flag"), F.concat_ws(" ", F.lit("part"), "l_partkey").alias("first_sentence"))
     last = rows.groupBy("trace_id").agg(F.max("boundary_index").alias("last_boundary"))
     return importance.importance_table(rows.withColumn("is_correct", F.col("flag") == "R"), last, 0.5)
 
@@ -451,7 +451,7 @@ def matched_arms(spark, d):
     last = rows.groupBy("trace_id").agg(F.max("boundary_index").alias("last_boundary"))
     placed = importance.sentence_samples(rows.select("trace_id", "boundary_index", "rollout_index", "entity", "valid", "similarity"), last, F.lit(0.5))
     key = F.concat_ws(":", F.col("trace_id").cast("string"), F.col("sentence_index").cast("string"), "arm", F.col("rollout_index").cast("string"))
-    return importance.matched(placed, 16, key)
+    return importance.matched(placed, 16, key, vocabulary=importance.vocabulary(rows))
 
 
 @query("select c_mktsegment, max(case when n_regionkey = 0 then m end) as r0, max(case when n_regionkey = 1 then m end) as r1 from (select c_mktsegment, n_regionkey, round(median(c_acctbal), 6) as m from customer join nation on c_nationkey = n_nationkey group by all) group by all")
