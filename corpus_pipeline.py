@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import exact_dedup, mixing, packing, simhash, toxicity
-from tracewell.llm.common import table
+from tracewell.llm.common import table, written
 from tracewell.llm.queries import VOCABULARY
 
 
@@ -42,8 +42,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, over the whole table of documents."""
+    """The stages one after another, over the whole table of documents; each is written and reread as the next one's docs."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = written(stage(spark, docs, sf_dir))
     return docs

@@ -81,3 +81,18 @@ def test_stages(spark, folder):
         docs = spark.createDataFrame(made, out.schema)
         rows = made
     assert sum(x.length for x in corpus_pipeline.run(spark, folder).collect()) == sum(x.length for x in rows)
+
+
+def test_each_stage_is_computed_once(spark, folder, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    stages = [("counted", lambda s, docs, d: docs.mapInArrow(count, docs.schema)), ("twice", lambda s, docs, d: docs.unionAll(docs))]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    out = corpus_pipeline.run(spark, folder)
+    n = spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert out.count() == 2 * n and len(out.collect()) == 2 * n and seen.value == n
