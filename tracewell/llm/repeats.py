@@ -1,11 +1,9 @@
-"""Removal of passages that an earlier document holds, by previous factors.
-
-A position's longest previous factor is the longest string there that also
-starts earlier; in suffix order it is shared with the previous or next smaller
-position. Only factors of at least ``length`` bytes matter here and only smaller
-documents count as earlier, so positions are ordered by their first ``length``
-bytes, those of equal ones by document, and the previous smaller document of an
-order's run decides. Candidates are found first, so that little text is ordered.
+"""Removal of passages that an earlier document holds, by equal windows.
+
+Only factors of at least ``length`` bytes matter and only smaller documents count
+as earlier, so no suffix order or LPF array is built: windows of ``length`` bytes
+are grouped by hash, compared byte by byte, and the least document of a group
+decides. Candidates are found first, so that little text is grouped.
 """
 
 from __future__ import annotations
@@ -142,9 +140,8 @@ def _cut(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def covered(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """Which positions start a string of ``length`` bytes that one of a smaller document starts as well.
 
-    Positions are ordered by these strings, equal ones by document: in such a
-    suffix order the previous smaller document of a run of equal strings is its
-    first. Runs are told by 64-bit hashes and then compared byte by byte.
+    Positions are grouped by these strings, and the least document of a group
+    counts. Groups are told by 64-bit hashes and then compared byte by byte.
     """
     hashes = np.zeros(len(starts), np.uint64)
     for low in range(0, len(starts), 100_000):  # starts ascend
