@@ -186,8 +186,9 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
     have the same anchor, so no match is lost. Windows under such anchors are then
     sent with their bytes, each distinct run of them once for a chunk, which
     decides the other copies itself. Where they meet they are put in order, and
-    what is covered goes back to its chunk. A group's size is bounded by the
-    number of chunks, and tasks hold a chunk or a bucket.
+    what is covered goes back to its chunk, and tasks hold a chunk or a bucket.
+    Equal runs are sent once for a chunk, but all runs under one anchor go to one
+    bucket, so an anchor in ever different surroundings makes it grow with the text.
     """
     if not 8 <= piece < length or length - piece > 200:
         raise ValueError("piece must be at least 8 and below length, by 200 at most")
