@@ -208,6 +208,19 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def require_byte_level(path: str) -> dict:
+    """A file in the tokenizers format, if its texts are cut by the pattern that this module has."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = spec.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    if not plain or spec.get("normalizer") or spec["model"].get("type") != "BPE" or spec["model"].get("ignore_merges") or spec["model"].get("dropout"):
+        raise ValueError(f"{path} is not a plain byte-level BPE")
+    if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"]):
+        raise ValueError(f"{path} has added tokens that are not matched as they are")
+    return spec
+
+
 class PrefixCounter:
     """Exact token counts of every prefix of a text, without encoding prefixes.
 
@@ -219,8 +232,7 @@ class PrefixCounter:
     """
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = require_byte_level(path)
         alphabet = byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -234,6 +246,10 @@ class PrefixCounter:
         if (self.tokens.get(_hash_of(list(self.ids))) != np.fromiter(self.ids.values(), np.int64)).any():
             raise ValueError("the vocabulary does not fit its table")
         self.by_id = {i: t for t, i in self.ids.items()} | {NONE: b""}
+        #: the bytes of tokens by id, against which the strings that a hash finds are compared
+        self.bytes_of = np.zeros((max(self.ids.values()) + 1, LONG), np.uint8)
+        for token, i in self.ids.items():
+            self.bytes_of[i, : len(token[:LONG])] = np.frombuffer(token[:LONG], np.uint8)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.fits = Lookup(8, 21)
         self.words: dict[str, bytes] = {}
@@ -301,6 +317,7 @@ class PrefixCounter:
                     continue
                 token = self.tokens.get(_spread(prefix[i][rows] - prefix[i - k][rows] * POWERS[k], k))
                 some = token >= 0
+                some[some] = (self.bytes_of[token[some], :k] == text[rows[some], i - k : i]).all(1)
                 if not some.any():
                     continue
                 at, token = rows[some], token[some]
