@@ -70,3 +70,26 @@ def test_ids_of_odd_texts():
     encoder = TokenIds(PATH, pieces=3000)
     for _ in range(2):
         assert [x.tolist() for x in encoder.of_batch([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_of_one_hash():
+    """Thue-Morse words and their complements have the same polynomial hash modulo 2 ** 64, whatever the base."""
+    tokenizer, texts = Tokenizer.from_file(PATH), []
+    for pair in ("ab", "01"):
+        word = pair[0]
+        for _ in range(12):
+            word += word.translate(str.maketrans(pair, pair[::-1]))
+            texts += [word, word.translate(str.maketrans(pair, pair[::-1])), f"x {word}, y"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = TokenIds(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.of_batch([t.encode() for t in texts])] == want
+        assert [encoder.of_batch([t.encode()])[0].tolist() for t in reversed(texts)] == want[::-1]
+
+
+def test_other_vocabularies_are_refused():
+    import pytest
+
+    for name in ("word_bpe_49k.json",):
+        with pytest.raises(ValueError):
+            TokenIds(public_tokenizers.path(name))

@@ -1,9 +1,10 @@
 """Token ids of many texts by the tokenizers library, each distinct piece encoded once.
 
 Texts are cut where a pre-token surely begins, whatever stands around: at most
-changes between ASCII letters, digits, marks and white space. Pieces are told
-apart by 64-bit hashes, those not known yet are encoded by the library, and all
-ids are put together by arrays.
+changes between ASCII letters, digits, marks and white space. A hash finds a
+piece's entry in a bounded table and its bytes are compared with the entry's;
+pieces not known yet are encoded by the library, texts with a piece whose hash
+is another's are encoded whole, and all ids are put together by arrays.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-from .bpe import Lookup, byte_alphabet
+from .bpe import Lookup, byte_alphabet, require_byte_level
 
 #: White space outside ASCII, in UTF-8. Texts with it are encoded whole.
 OTHER_WHITE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -70,10 +71,14 @@ def starts_of(data: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class TokenIds:
-    """Ids of texts by a byte-level BPE file, with a bounded table of pieces."""
+    """Ids of texts by a byte-level BPE file, with a bounded table of pieces.
+
+    A file of another pre-tokenisation or with a normaliser raises ValueError.
+    """
 
     def __init__(self, path: str, pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        require_byte_level(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.stand_ins = {b: ord(c) for c, b in byte_alphabet().items() if b != 10}
@@ -94,7 +99,11 @@ class TokenIds:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
-        self.n = self.used = 0
+        #: the bytes of entries, where each one's start, and how many
+        self.text = np.zeros(1 << 20, np.uint8)
+        self.text_starts = np.zeros(1 << 16, np.int64)
+        self.text_sizes = np.zeros(1 << 16, np.int64)
+        self.n = self.used = self.held = 0
 
     def encoded(self, pieces: list[str]) -> list[list[int]]:
         """The library's ids of texts, those of one word by its model alone."""
@@ -106,37 +115,52 @@ class TokenIds:
         rest = iter([x.ids for low in range(0, len(other), 1000) for x in self.tokenizer.encode_batch_fast(other[low : low + 1000], add_special_tokens=False)])
         return [next(known) if w else next(rest) for w in word]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        ids = self.encoded(pieces)
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        ids = self.encoded([p.decode() for p in pieces])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.held + int(lengths.sum()) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         while self.n + len(keys) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.text_starts, self.text_sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.text_starts, self.text_sizes))
+        own = slice(self.n, self.n + len(keys))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[self.n : self.n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[self.n : self.n + len(keys)] = sizes
+        self.starts[own], self.sizes[own] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.text[self.held : self.held + int(lengths.sum())] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.text_starts[own], self.text_sizes[own] = self.held + np.cumsum(lengths) - lengths, lengths
         self.table.add(keys, np.arange(self.n, self.n + len(keys)))
         self.n += len(keys)
         self.used += len(flat)
+        self.held += int(lengths.sum())
 
     def _places(self, joined: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Entry of each piece, new ones learnt."""
-        if self.n > self.most:
+        """Entry of each piece by its hash, new ones learnt."""
+        if self.n > self.most or self.held > 1 << 25:
             self.forget()
         at = self.table.get(keys)
         if (at < 0).any():
             fresh, first = np.unique(keys[at < 0], return_index=True)
             which = np.flatnonzero(at < 0)[first]
             before = self.n
-            self._learn(fresh, [joined[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+            self._learn(fresh, [joined[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
             new = np.flatnonzero(at < 0)
             at[new] = before + np.searchsorted(fresh, keys[new])
         return at
 
-    def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts of some bytes each, one after another, and the number of each text's."""
+    def _others(self, data: np.ndarray, place: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those of their entry."""
+        wrong = self.text_sizes[place] != sizes
+        at = np.repeat(self.text_starts[place] - starts, sizes) + np.arange(len(data))
+        differ = self.text[np.minimum(at, len(self.text) - 1)] != data
+        if differ.any():
+            wrong |= np.logical_or.reduceat(differ, starts)
+        return np.flatnonzero(wrong)
+
+    def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids of texts of some bytes each, one after another, the number of each text's, and the texts whose ids are wrong."""
         joined = b"".join(texts)
         data = np.frombuffer(joined, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -149,10 +173,14 @@ class TokenIds:
         keys = ((keys ^ (keys >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
         keys[keys == -1] = -2  # marks a free slot
         place = self._places(joined, keys, starts, ends)
+        wrong = self._others(data, place, starts, ends - starts)
         counts = self.sizes[place]
         total = np.cumsum(counts)
         ids = self.ids[np.repeat(self.starts[place] - total + counts, counts) + np.arange(total[-1])]
-        return ids, np.add.reduceat(counts, np.searchsorted(starts, first))
+        return ids, np.add.reduceat(counts, np.searchsorted(starts, first)), np.unique(np.searchsorted(first, starts[wrong], side="right") - 1).tolist()
+
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
 
     def of_batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8), special strings inside being their one token."""
@@ -161,13 +189,15 @@ class TokenIds:
         size = 0
 
         def flush() -> None:
-            ids, counts = self._plain([texts[i] for i in some])
+            ids, counts, wrong = self._plain([texts[i] for i in some])
             for i, a, b in zip(some, np.cumsum(counts) - counts, np.cumsum(counts), strict=True):
                 out[i] = ids[a:b]
+            for k in wrong:
+                out[some[k]] = self._whole(texts[some[k]])
 
         for i, text in enumerate(texts):
             if len(text) > BLOCK or any(s in text for s in self.special) or not text.isascii() and OTHER_WHITE.search(text):
-                out[i] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+                out[i] = self._whole(text)
             elif text:
                 if size + len(text) > BLOCK:
                     flush()
