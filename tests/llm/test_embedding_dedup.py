@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tracewell.llm.embedding_dedup import codes, embedding_groups, estimates, least_estimate, plan
+from tracewell.llm.embedding_dedup import codes, embedding_groups, estimates, least_estimate, nearest_possible, plan, quantised
 
 
 def brute(rows, threshold=0.95):
@@ -51,8 +51,11 @@ def test_estimates_are_unbiased_and_bounded():
     b = a + 0.3 * r.standard_normal((2000, 64))
     a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
     code, factor = codes(a, 5)
-    e = estimates(code, factor, b, 5).diagonal()
+    turned, step = quantised(b, 5)
+    e = estimates(code, factor, turned, step).diagonal()
     cosines = (a * b).sum(1)
     assert abs((e - cosines).mean()) < 0.005
-    assert (e >= least_estimate(factor, 64, 0.95, 6.0))[cosines >= 0.95].all()
-    assert plan(50_000, 0.95, 1e-6)[0] == 8 and plan(10**9, 0.95, 1e-6)[0] > 20
+    assert (e >= least_estimate(factor, step, 64, 0.95, 6.0))[cosines >= 0.95].all()
+    upper = nearest_possible(*quantised(a, 5), turned, step).diagonal()
+    assert (upper >= cosines).all() and (upper - cosines).max() < 0.1
+    assert plan(50_000, 0.95, 1e-6)[0] == 6 and plan(10**9, 0.95, 1e-6)[0] == 20

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_dir
 
-#: Written tables of this process, for :func:`forget_tables`.
+#: Written tables of this process, for :func:`forget_tables`. They are the caller's to delete, by it or by :func:`scratch`.
 _written: list[str] = []
 
 
@@ -33,12 +35,31 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_tables(spark: SparkSession) -> None:
-    """Delete the tables of :func:`written`; no DataFrame over them is usable after."""
+def forget_tables(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables of :func:`written` from the ``since``-th on; no DataFrame over them is usable after.
+
+    The files of ``keep``, a table of :func:`written`, stay.
+    """
     jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    stay = [p for p in _written[since:] if keep is not None and any(f"/{p.rsplit('/', 1)[1]}/" in f for f in keep.inputFiles())]
+    for path in set(_written[since:]) - set(stay):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written[since:] = stay
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that operators write inside are deleted at the end, whatever happens.
+
+    An operator's result reads them, so it is to be used inside. A table of
+    :func:`written` that is put into the list stays, and is the caller's.
+    """
+    since, keep = len(_written), []
+    try:
+        yield keep
+    finally:
+        forget_tables(spark, since, keep[0] if keep else None)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -68,6 +89,7 @@ __all__ = [
     "crc32_of_id",
     "forget_tables",
     "partitions",
+    "scratch",
     "shared_dir",
     "table",
     "unused",

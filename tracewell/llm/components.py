@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,15 +37,19 @@ def components(links: DataFrame) -> DataFrame:
         edges = checkpointed(small.unionByName(down.select("a", F.col("least").alias("b"))).distinct())
 
 
-def dealt(rows: DataFrame, most: int) -> DataFrame:
+def dealt(rows: DataFrame, most: int, sizes: DataFrame | None = None) -> DataFrame:
     """Rows of equal ``key`` brought together in tasks of about 2 x ``most`` rows at most.
 
     A key of more than ``most`` rows is cut into parts by a hash of ``id``, and
     every two parts (and each alone) make a task, so that each pair of rows meets
     once whatever the key's size. Adds key_a, key_b (the parts of the task, equal
     if it is one) and part; sorted by key, key_a, key_b within partitions.
+
+    ``sizes`` (key, n) spares computing ``rows`` twice. The large keys are written,
+    so that Spark knows their size when it chooses how to join them.
     """
-    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    large = (sizes or rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    large = written(large)
     parts = F.coalesce(F.col("parts"), F.lit(1))
     own = rows.join(large, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
