@@ -13,7 +13,7 @@ def test_settings(tmp_path):
     assert model.decoding.sampling() == {"temperature": 0.6, "top_p": 1.0, "top_k": -1, "repetition_penalty": 1.0, "max_tokens": 9}
     (tmp_path / "s.yaml").write_text("name: s\nmodels: [m]\nsolve: x_K6_y\nstrata: {}\npool_size: 5\n")
     study = config.study(tmp_path / "s.yaml")
-    assert study.run("m", "sweep") == "s-m-sweep" and study.solve_at(8) == "x_K8_y" and study.floor == 40
+    assert study.run("m", "sweep") == "s-m" and study.run("m", "screen") == "s-m-screen" and study.solve_at(8) == "x_K8_y" and study.floor == 40
     (tmp_path / "bad.yaml").write_text("name: s\nmodels: [m]\nsolve: x\nstrata: {}\npool: 5\n")
     with pytest.raises(ValueError, match="pool"):
         config.study(tmp_path / "bad.yaml")
