@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import exists
@@ -32,27 +31,43 @@ def append_lines(rows: DataFrame, path: str) -> None:
 
 
 def result_csv(rows: DataFrame, path: str) -> bool:
-    """Write a result as one CSV file with a header; nothing if it has no rows."""
+    """Write a result that fits one file as CSV with a header; nothing if it has no rows."""
     if rows.isEmpty():
         return False
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return True
 
 
+def _files(path: str):
+    """Hadoop's view of a path in any store: JVM, path, its file system."""
+    spark = SparkSession.active()
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def small_json(payload: object, path: str) -> None:
-    """Write a selection, pool or cohort of the driver; readers never see half of it."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(target.name + ".part")
-    part.write_text(json.dumps(payload, indent=1), encoding="utf-8")
-    part.replace(target)
+    """Write a selection, pool or cohort of the driver, to any store; readers never see half of it."""
+    jvm, target, store = _files(path)
+    part = jvm.org.apache.hadoop.fs.Path(path + ".part")
+    out = store.create(part, True)
+    out.write(bytearray(json.dumps(payload, indent=1).encode()))
+    out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = SparkSession.active().sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    where = store.makeQualified(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), store.getConf()).rename(store.makeQualified(part), where, options)
 
 
 def manifest(payload: dict, path: str) -> None:
     """Write a run's manifest once; the same again is fine, another is an error."""
-    target = Path(path)
-    if target.exists():
-        if (there := json.loads(target.read_text(encoding="utf-8"))) != payload:
+    jvm, target, store = _files(path)
+    if store.exists(target):
+        stream = store.open(target)
+        there = json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        stream.close()
+        if there != payload:
             changed = sorted(k for k in there.keys() | payload.keys() if there.get(k) != payload.get(k))
             raise ValueError(f"the run was begun with other settings: {changed}")
         return
