@@ -88,7 +88,8 @@ def matched(placed: DataFrame, n: int, key: Column, keep_most: float = 3.0, leas
         found.append(smoothed_kl("p", "q", "n", "m", support=F.max("vocab_size")).alias("matched_kl_cf_keep_fixed"))
     rows = drawn.groupBy(*by).agg(*found)
     ratio = F.col("matched_effective_counterfactual") / F.col("matched_effective_keep")
-    return rows.withColumns({"matched_n": F.lit(n), "matched_collapse_ratio": ratio, "matched_is_anchor": (F.col("matched_effective_keep") <= keep_most) & (ratio >= least_ratio)})
+    anchor = (F.round("matched_effective_keep", 6) <= keep_most) & (F.round(ratio, 6) >= least_ratio)  # sums of logarithms, in any order
+    return rows.withColumns({"matched_n": F.lit(n), "matched_collapse_ratio": ratio, "matched_is_anchor": anchor})
 
 
 def counts_by_arm(placed: DataFrame, by: Sequence[str] = SENTENCE) -> DataFrame:
@@ -104,14 +105,36 @@ def unique_replacements(placed: DataFrame, sentence: str = "first_sentence", by:
     return rows.groupBy(*by).agg((F.count_distinct(sentence) / F.count(F.lit(1))).alias("unique_replacement_fraction"))
 
 
-def importance_table(samples: DataFrame, last: DataFrame, threshold: float, correct: str = "is_correct") -> DataFrame:
+def median_similarity(samples: DataFrame) -> float:
+    """The upper median of all similarities (that of the higher half's least), exact; ValueError if there is none."""
+    found = samples.agg(F.expr("percentile_disc(0.5) within group (order by if(isnan(similarity), null, similarity) desc)").alias("m")).first()["m"]
+    if found is None:
+        raise ValueError("no similarity to take a median of")
+    return float(found)
+
+
+def with_sentences(table: DataFrame, traces: DataFrame) -> DataFrame:
+    """An importance table with what its traces say: model, case, the sentence's text and tokens, and whether the trace itself was right.
+
+    ``traces`` has trace_id, model, case_id, is_correct and sentences (structs of
+    text, token_start, token_end).
+    """
+    own = F.get("sentences", F.col("sentence_index"))
+    joined = table.join(traces.select("trace_id", "model", "case_id", F.col("is_correct").alias("base_is_correct"), "sentences"), "trace_id", "left")
+    return joined.withColumns({"sentence_text": own["text"], "sentence_tokens": own["token_end"] - own["token_start"]}).drop("sentences")
+
+
+def importance_table(samples: DataFrame, last: DataFrame, threshold: float | None = None, correct: str = "is_correct") -> DataFrame:
     """One row for each sentence of each trace, with its figures; arms that are missing count as empty.
 
+    Without a ``threshold`` the samples' own :func:`median_similarity` splits them.
+
     The matched figures (at 16 samples, and at 10 with the suffix 10) are drawn by
     ``rollout_index``, a number unique within trace and boundary, and the share of
     unique replacements reads ``first_sentence``; without such a column in
     ``samples`` its figures are null.
     """
+    threshold = median_similarity(samples) if threshold is None else threshold
     placed = sentence_samples(samples, last, F.lit(threshold))
     words = vocabulary(samples)
     out = last.select("trace_id", (F.col("last_boundary")).alias("n_sentences"), F.explode(F.sequence(F.lit(0), F.col("last_boundary") - 1)).alias("sentence_index")).where("n_sentences > 0")

@@ -8,28 +8,50 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
+#: A word is looked up by so many of its first characters.
+GRAM = 3
+
+
 def case_words(entities: DataFrame) -> DataFrame:
-    """Word lists of all entities of each case (case_id, entity), in order of the entities; empty ones are left out."""
+    """The word lists of the entities of each case (case_id, entity), and how many entities reduce to each; empty ones are left out."""
     rows = entities.where("coalesce(entity, '') <> ''").select("case_id", "entity").distinct()
-    lists = rows.groupBy("case_id").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
-    return lists.select("case_id", F.filter(F.transform("entities", text.content_words), lambda w: F.size(w) > 0).alias("words"))
+    return rows.select("case_id", text.content_words(F.col("entity")).alias("words")).where(F.size("words") > 0).groupBy("case_id", "words").agg(F.count(F.lit(1)).alias("times"))
 
 
 def mentions(traces: DataFrame, words: DataFrame) -> DataFrame:
     """One row per sentence: whether it names the final answer, or else one of the case's others.
 
-    ``traces`` has case_id, trace_id, raw_answer, sentences (an array of text).
-    Others are entities whose words are not the final answer's in order; two that
-    reduce to the same words count twice.
+    ``traces`` has case_id, trace_id (unique), raw_answer, sentences (an array of
+    text); ``words`` is that of :func:`case_words`. Others are entities whose words
+    are not the final answer's in order; two that reduce to the same words count
+    twice.
+
+    Sentences find entities by an index: an entity stands under its longest word,
+    that under its first characters, and a token's substrings of that many are
+    looked up. So neither a sentence nor a task holds a case's entities.
     """
-    rows = traces.join(words, "case_id", "left").withColumn("final", text.content_words(F.col("raw_answer")))
-    others = F.filter(F.coalesce("words", F.array().cast("array<array<string>>")), lambda w: w != F.col("final"))
-    rows = rows.withColumn("others", others)
-    each = rows.select("case_id", "trace_id", "final", "others", F.size("sentences").alias("n_sentences"), F.posexplode("sentences").alias("sentence_index", "sentence")).withColumn("flat", text.flat(F.col("sentence")))
+    rows = traces.withColumn("final", text.content_words(F.col("raw_answer")))
+    known = words.groupBy("case_id").agg(F.sum("times").alias("_all"))
+    same = words.select(F.col("case_id").alias("_case"), F.col("words").alias("_words"), F.col("times").alias("_same"))
+    about = rows.join(known, "case_id", "left").join(same, (F.col("case_id") == F.col("_case")) & (F.col("final") == F.col("_words")), "left")
+    n_others = (F.coalesce("_all", F.lit(0)) - F.coalesce("_same", F.lit(0))).cast("int")
+    each = about.select("case_id", "trace_id", "final", n_others.alias("n_other_entities"), F.size("sentences").alias("n_sentences"), F.posexplode("sentences").alias("sentence_index", "sentence"))
+    each = each.withColumn("flat", text.flat(F.col("sentence"))).drop("sentence")
+
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))["word"]
+    index = words.select("case_id", "words", longest.alias("word")).withColumn("gram", F.substring("word", 1, GRAM))
+    tokens = each.select("case_id", "trace_id", "sentence_index", F.explode(F.array_distinct(F.split("flat", " "))).alias("token")).where("token <> ''")
+    size = F.length("token")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda at: F.substring("token", at, n))))
+    distinct = tokens.select("case_id", "token").distinct().select("case_id", "token", F.explode(F.array_distinct(pieces)).alias("gram"))
+    holds = distinct.join(index.select("case_id", "gram", "word").distinct(), ["case_id", "gram"]).where(F.contains("token", "word")).select("case_id", "token", "word")
+    likely = tokens.join(holds, ["case_id", "token"]).select("case_id", "trace_id", "sentence_index", "word").distinct().join(index.select("case_id", "word", "words"), ["case_id", "word"])
+    named = likely.join(each.select("trace_id", "sentence_index", "flat", "final"), ["trace_id", "sentence_index"]).where((F.col("words") != F.col("final")) & text.names(F.col("flat"), F.col("words")))
+    found = named.select("trace_id", "sentence_index").distinct().withColumn("_other", F.lit(True))
     final = text.names(F.col("flat"), F.col("final"))
-    other = ~final & F.exists("others", lambda w: text.names(F.col("flat"), w))
-    return each.select(
-        "case_id", "trace_id", "sentence_index", "n_sentences", final.cast("int").alias("mentions_final"), other.cast("int").alias("mentions_other"), F.array_join("final", " ").alias("final_words"), F.size("others").alias("n_other_entities")
+    other = ~final & F.coalesce("_other", F.lit(False))
+    return each.join(found, ["trace_id", "sentence_index"], "left").select(
+        "case_id", "trace_id", "sentence_index", "n_sentences", final.cast("int").alias("mentions_final"), other.cast("int").alias("mentions_other"), F.array_join("final", " ").alias("final_words"), "n_other_entities"
     )
 
 

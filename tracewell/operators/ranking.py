@@ -29,18 +29,76 @@ def average_rank(value: str, by: Sequence[str] = ()) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def bh_adjusted(p: str, by: Sequence[str] = ()) -> tuple[Column, Column]:
-    """Benjamini-Hochberg: a first column to add as ``_bh``, and the adjusted value that reads it; ties share theirs."""
-    group = Window.partitionBy(*by)
-    raw = F.col(p) * F.count(p).over(group) / F.row_number().over(group.orderBy(p))
-    down = F.least(F.lit(1.0), F.min("_bh").over(group.orderBy(F.desc(p))))
-    return raw, down
+def _ranges(df: DataFrame, order: Sequence[str], sample: int = 8192) -> tuple[Column, int]:
+    """A row's range of the order, and how many ranges there are: as many as shuffle partitions, of like size.
+
+    The cuts come from the ``sample`` rows of least hash, so they are the same
+    whenever the plan is run. Rows of equal order are in one range.
+    """
+    own = F.struct(*order)
+    some = df.select(own.alias("_o")).orderBy(F.xxhash64("_o")).limit(sample)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = some.schema["_o"].dataType
+    found = [r._o for r in some.orderBy("_o").collect()]
+    cuts = [found[i * len(found) // parts] for i in range(1, min(parts, len(found)))]
+
+    def place(low: int, high: int) -> Column:  # a tree of comparisons
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        cut = F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cuts[middle], kind.fields, strict=True)))
+        return F.when(own < cut, place(low, middle)).otherwise(place(middle + 1, high))
+
+    return place(0, len(cuts)), len(cuts) + 1
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str, count: str | None = None) -> DataFrame:
+    """``df`` with each row's number from 0 in a total order of the whole table, or the sum of column ``count`` before it.
+
+    Ranges of the order are numbered apart and then moved by the rows of those
+    before, so no task holds more than a range.
+    """
+    place, _ = _ranges(df, order)
+    rows = df.withColumn("_range", place)
+    size = F.count(F.lit(1)) if count is None else F.sum(count)
+    sums = rows.groupBy("_range").agg(size.alias("_size"))  # a row for each shuffle partition at most
+    before = sums.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    own = F.row_number().over(inside) - 1 if count is None else F.coalesce(F.sum(count).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+
+
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the rank of each value in the whole table, from 1, ties sharing their mean. Null values are left out."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_ties"))
+    ranks = numbered(counts, [value], "_under", "_ties").select(value, (F.col("_under") + (F.col("_ties") + 1) / 2).alias(name))
+    return df.join(ranks, value)
 
 
 def adjust(df: DataFrame, p: str, by: Sequence[str] = (), name: str = "q") -> DataFrame:
-    """``df`` with the Benjamini-Hochberg adjusted values of column ``p``."""
-    raw, down = bh_adjusted(p, by)
-    return df.withColumn("_bh", raw).withColumn(name, down).drop("_bh")
+    """``df`` with the Benjamini-Hochberg adjusted values of column ``p``; ties share theirs, null stays null.
+
+    A value is the least of n p / rank over the values that are not smaller.
+    Groups of ``by`` are families of tests and each in a task; without any, the
+    whole table is ranked by ranges.
+    """
+    raw = lambda n, last: F.col(p) * n / last
+    if by:
+        group = Window.partitionBy(*by)
+        last = F.count(p).over(group.orderBy(F.col(p).asc_nulls_last()))
+        rows = df.withColumn("_raw", raw(F.count(p).over(group), last))
+        low = F.min("_raw").over(group.orderBy(F.desc(p)))
+        return rows.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), low))).drop("_raw")
+    counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_ties"))
+    ranks = numbered(counts, [p], "_under", "_ties")
+    whole = counts.agg(F.coalesce(F.sum("_ties"), F.lit(0)).alias("_n"))  # one row
+    rows = ranks.join(F.broadcast(whole)).withColumn("_raw", raw(F.col("_n"), F.col("_under") + F.col("_ties")))
+    place, _ = _ranges(counts, [p])
+    rows = rows.withColumn("_range", place)
+    later = rows.groupBy("_range").agg(F.min("_raw").alias("_low")).select("_range", F.min("_low").over(Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    own = F.min("_raw").over(Window.partitionBy("_range").orderBy(F.desc(p)))
+    found = rows.withColumn("_own", own).join(F.broadcast(later), "_range").select(F.col(p).alias("_p"), F.least(F.lit(1.0), "_own", "_later").alias(name))
+    return df.join(found, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -49,11 +107,10 @@ def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str | Column])
 
 
 def strided_shard(df: DataFrame, order: Sequence[str], index: int, of: int) -> DataFrame:
-    """Every ``of``-th row from the ``index``-th, counted from 1."""
+    """Every ``of``-th row of a total order from the ``index``-th, counted from 1."""
     if not 1 <= index <= of:
         raise ValueError(f"shard {index} of {of}")
-    turn = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("_turn", turn).where(F.col("_turn") % of == index - 1).drop("_turn")
+    return numbered(df, order, "_turn").where(F.col("_turn") % of == index - 1).drop("_turn")
 
 
 def batch_number(by: Sequence[str], order: Sequence[str], size: int, strided: bool) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,9 +61,32 @@ def draw(cases: DataFrame, quota: DataFrame, seed: str) -> DataFrame:
     return cases.withColumn("_turn", F.row_number().over(order)).join(quota.select("source", "quota"), "source").where(F.col("_turn") <= F.col("quota")).drop("_turn", "quota")
 
 
-def id_digest(ids: DataFrame, name: str = "case_id") -> DataFrame:
-    """First 16 hex digits of the SHA-256 of all ids in order, comma-joined: one row."""
-    return ids.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(name)), ","), 256), 1, 16).alias("digest"))
+def id_digest(ids: DataFrame, name: str = "case_id", most: int = 1_000_000) -> DataFrame:
+    """First 16 hex digits of the SHA-256 of all ids in order, comma-joined: one row.
+
+    The digest reads the ids one after another, so it is for pools, which a quota
+    bounds; more than ``most`` ids raise an error.
+    """
+    some = ids.select(name).limit(most + 1)
+    whole = F.when(F.count(F.lit(1)) <= most, F.array_join(F.array_sort(F.collect_list(name)), ",")).otherwise(F.raise_error(F.lit(f"a pool has at most {most} ids")))
+    return some.agg(F.substring(F.sha2(whole, 256), 1, 16).alias("digest"))
+
+
+def seeded_draw(cases: DataFrame, quota: DataFrame, seed: int, most: int = 1_000_000) -> DataFrame:
+    """The draw of Python's generator: one ``random.Random(seed)`` samples from each source's sorted ids, sources in order of name.
+
+    For pools that the driver can hold, of ``most`` cases at most (ValueError
+    beyond); :func:`draw` is the one for any size. Returns source, case_id.
+    """
+    rows = cases.select("source", "case_id").join(quota.select("source", "quota"), "source").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} cases; use draw")
+    by_source: dict[str, tuple[int, list[str]]] = {}
+    for r in rows:
+        by_source.setdefault(r.source, (r.quota, []))[1].append(r.case_id)
+    dice = random.Random(seed)
+    taken = [(source, case) for source, (n, ids) in sorted(by_source.items()) for case in sorted(dice.sample(sorted(ids), n))]
+    return cases.sparkSession.createDataFrame(taken, cases.select("source", "case_id").schema)
 
 
 def outcomes(judged: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import probability
-from .ranking import average_rank
+from .ranking import average_rank, numbered
 
 
 def _pairs(groups: DataFrame, by: str) -> DataFrame:
@@ -30,36 +30,44 @@ def welch(df: DataFrame, by: str, value: str) -> DataFrame:
     return _pairs(groups, by).select("a", "b", "n_a", "n_b", t.alias("t"), freedom.alias("df"))
 
 
-def mann_whitney(df: DataFrame, by: str, value: str) -> DataFrame:
-    """U of the first of every two groups, and its z with corrections for ties and continuity.
+def mann_whitney(df: DataFrame, by: str, value: str, within: Sequence[str] = ()) -> DataFrame:
+    """U of the first of every two groups, and its z with corrections for ties and continuity, in each family of ``within``.
 
     Counts of each value are met with each other group's, so no pair of rows is made.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    names = df.select(by).distinct()
-    pair = _pairs(names, by)
-    stacked = pair.join(counts, (F.col(by) == F.col("a")) | (F.col(by) == F.col("b")))
-    cells = stacked.groupBy("a", "b", value).agg(F.sum(F.when(F.col(by) == F.col("a"), F.col("c")).otherwise(0)).alias("ca"), F.sum(F.when(F.col(by) == F.col("b"), F.col("c")).otherwise(0)).alias("cb"))
-    below = Window.partitionBy("a", "b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*within, by, value).agg(F.count(F.lit(1)).alias("c"))
+    members = _pairs(df.select(by).distinct(), by).select("a", "b", F.explode(F.array("a", "b")).alias(by))
+    stacked = counts.join(members, by)
+    family = [*within, "a", "b"]
+    cells = stacked.groupBy(*family, value).agg(F.sum(F.when(F.col(by) == F.col("a"), F.col("c")).otherwise(0)).alias("ca"), F.sum(F.when(F.col(by) == F.col("b"), F.col("c")).otherwise(0)).alias("cb"))
+    below = Window.partitionBy(*family).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("under", F.coalesce(F.sum("cb").over(below), F.lit(0)))
     both = F.col("ca") + F.col("cb")
-    rows = cells.groupBy("a", "b").agg(
+    rows = cells.groupBy(*family).agg(
         F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"), F.sum(F.col("ca") * (F.col("under") + F.col("cb") / 2.0)).alias("u"), F.sum((both * both * both - both).cast("double")).alias("ties")
     )
     n = F.col("n_a") + F.col("n_b")
     spread = F.sqrt(F.col("n_a") * F.col("n_b") / 12.0 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     off = F.greatest(F.abs(F.col("u") - F.col("n_a") * F.col("n_b") / 2.0) - 0.5, F.lit(0.0))
-    return rows.select("a", "b", "n_a", "n_b", "u", F.try_divide(off, spread).alias("z"))
+    return rows.select(*family, "n_a", "n_b", "u", F.try_divide(off, spread).alias("z"))
 
 
 def kruskal(df: DataFrame, by: str, value: str, least: int = 5) -> DataFrame:
-    """H with tie correction over the groups of at least ``least`` rows, and its degrees of freedom: one row."""
-    rows = df.where(F.col(value).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by))).where(F.col("_n") >= least)
-    ranked = rows.withColumns({"_rank": average_rank(value), "_ties": F.count(F.lit(1)).over(Window.partitionBy(value)), "_all": F.count(F.lit(1)).over(Window.partitionBy())})
-    groups = ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("_rank").alias("r"), F.max("_all").alias("all"), F.sum((F.col("_ties") * F.col("_ties") - 1).cast("double")).alias("t"))
+    """H with tie correction over the groups of at least ``least`` rows, and its degrees of freedom: one row.
+
+    Ranks are those of distinct values, so only their counts are ordered.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    large = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    cells = rows.join(large, by).groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    ties = cells.groupBy(value).agg(F.sum("_c").alias("_ties"))
+    ranks = numbered(ties, [value], "_under", "_ties").withColumn("_rank", F.col("_under") + (F.col("_ties") + 1) / 2)
+    sums = cells.join(ranks.select(value, "_rank"), value).groupBy(by).agg(F.max("_n").alias("n"), F.sum(F.col("_c") * F.col("_rank")).alias("r"))
+    t = F.col("_ties").cast("double")
+    whole = ties.agg(F.sum("_ties").cast("double").alias("all"), F.sum(t * t * t - t).alias("t"))  # one row
     n = F.max("all")
     h = 12.0 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)
-    return groups.agg(F.try_divide(h, 1 - F.try_divide(F.sum("t"), n * n * n - n)).alias("h"), (F.count(F.lit(1)) - 1).alias("df"))
+    return sums.join(F.broadcast(whole)).agg(F.try_divide(h, 1 - F.try_divide(F.max("t"), n * n * n - n)).alias("h"), (F.count(F.lit(1)) - 1).alias("df"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def registry() -> tuple[dict, dict, Callable]:
+    """Queries by name, their SQL, and what registers a function under its name with its SQL."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    sql_of: dict[str, str] = {}
+
+    def query(sql: str | None = None):
+        def put(f):
+            queries[f.__name__] = f
+            if sql:
+                sql_of[f.__name__] = sql
+            return f
+
+        return put
+
+    return queries, sql_of, query
+
+
+def r9(c: str, name: str | None = None):
+    return F.round(c, 9).alias(name or c)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,7 +70,7 @@ F1 = """f1 as (
     row_number() over (partition by l_suppkey, month(l_shipdate) order by l_orderkey, l_linenumber, l_partkey,
       l_quantity, l_extendedprice, l_discount, l_shipdate) - 1 as rollout_index
   from lineitem)"""
-F1B = F1.replace("f1 as", "f1 as").replace("l_returnflag || l_linestatus as entity", "l_returnflag as entity")
+F1B = F1.replace("l_returnflag || l_linestatus as entity", "l_returnflag as entity")
 F2 = """f1 as (
   select user_id as trace_id, (ntile({cuts}) over (partition by user_id order by ts, event_id) - 1)::int as boundary_index,
     event_type as entity from events)"""

@@ -6,26 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import distributions, importance, ledger, mentions, ranking, selection, stats
-from .fixtures import F1, numbered_samples, samples, table, with_
+from ..operators import distributions, importance, ledger, mentions, ranking, selection, stats, summaries
+from .fixtures import F1, numbered_samples, r9, registry, samples, table, with_
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def r9(c: str, name: str | None = None):
-    return F.round(c, 9).alias(name or c)
+QUERIES, SQL, query = registry()
 
 
 @query("select doc_id, md5(regexp_replace(coalesce(text, ''), '[^a-zA-Z]', '', 'g')) as case_id from documents")
@@ -51,12 +35,15 @@ x as (select *, {total} - coalesce(sum(case when whole then available end) over
 quota as (select source, available, case when whole then available else rest // n + case when t < rest - (rest // n) * n then 1 else 0 end end::bigint as quota from x)"""
 
 
-_CUSTOMERS = "select n_name as source, count(*) as available from customer join nation on c_nationkey = n_nationkey where c_custkey % (n_nationkey + 2) = 0 group by n_name"
+#: Sources of uneven sizes: five nations by themselves, the others by region and segment.
+_SOURCE = "case when n_nationkey < 5 then n_name else 'region ' || n_regionkey || ' ' || c_mktsegment end"
+_CUSTOMERS = f"select {_SOURCE} as source, count(*) as available from customer join nation on c_nationkey = n_nationkey group by all"
 
 
 def _pool(spark, d) -> DataFrame:
     rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.where(F.col("c_custkey") % (F.col("n_nationkey") + 2) == 0).select(F.col("n_name").alias("source"), F.col("c_name").alias("case_id"))
+    source = F.when(F.col("n_nationkey") < 5, F.col("n_name")).otherwise(F.concat(F.lit("region "), F.col("n_regionkey").cast("string"), F.lit(" "), "c_mktsegment"))
+    return rows.select(source.alias("source"), F.col("c_name").alias("case_id"))
 
 
 def _quota(spark, d) -> DataFrame:
@@ -68,8 +55,8 @@ def source_quotas(spark, d):
     return _quota(spark, d)
 
 
-_DRAW = """, dr as (select source, case_id from (select n_name as source, c_name as case_id, row_number() over (partition by n_name order by sha256('2026:' || c_name), c_name) as t
-  from customer join nation on c_nationkey = n_nationkey where c_custkey % (n_nationkey + 2) = 0) join quota using (source) where t <= quota)
+_DRAW = f""", dr as (select source, case_id from (select source, case_id, row_number() over (partition by source order by sha256('2026:' || case_id), case_id) as t
+  from (select {_SOURCE} as source, c_name as case_id from customer join nation on c_nationkey = n_nationkey)) join quota using (source) where t <= quota)
 """
 
 
@@ -85,7 +72,7 @@ def pool_digest(spark, d):
 
 _SCREEN = """sc as (select model, case_id, t as rollout_index, case l_returnflag when 'R' then true when 'A' then false end as is_correct from (
   select l_linenumber as model, 'c' || (l_orderkey % 200) as case_id, l_returnflag, row_number() over (partition by l_linenumber, l_orderkey % 200
-    order by l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as t from lineitem) where t < 8),
+    order by l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as t from lineitem)),
 oc as (select model, case_id, count(case when is_correct then 1 end) as n_correct, count(case when not is_correct then 1 end) as n_wrong, count(*) as n_graded,
   min(case when is_correct then rollout_index end) as correct_index, min(case when not is_correct then rollout_index end) as wrong_index from sc where is_correct is not null group by all)"""
 
@@ -96,7 +83,7 @@ def _screened(spark, d) -> DataFrame:
         F.col("l_linenumber").alias("model"), F.concat(F.lit("c"), (F.col("l_orderkey") % 200).cast("string")).alias("case_id"), F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "A", False).alias("is_correct"),
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     )
-    return rows.withColumn("rollout_index", F.row_number().over(key) - 1).where("rollout_index < 8")
+    return rows.withColumn("rollout_index", F.row_number().over(key) - 1)
 
 
 @query(with_(_SCREEN) + "select * from oc")
@@ -292,15 +279,10 @@ def one_sample_t(spark, d):
     return stats.one_sample(rows, F.col("l_discount") - F.col("l_tax"), ["l_returnflag"]).select("l_returnflag", "n", r9("mean"), F.round("t", 6).alias("t"))
 
 
-@query("select unit, round(sum(y), 6) as total, count(*) as n from (select l_suppkey as unit, l_discount as y from lineitem where l_returnflag = 'R') group by unit")
+@query("select kind, count(*) as traces, round(avg(total), 6) as mean_total, round(avg(size), 6) as mean_mentions from (select l_suppkey as unit, l_returnflag as kind, sum(l_discount) as total, count(*) as size from lineitem group by all) group by kind")
 def total_drop_by_kind(spark, d):
-    return table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("unit")).agg(F.round(F.sum("l_discount"), 6).alias("total"), F.count(F.lit(1)).alias("n"))
-
-
-@query("select trace_id, round(f, 9) as first_drop, round(r, 9) as repeat_drop from (select l_suppkey as trace_id, avg(case when l_linenumber = 1 then l_discount end) as f, avg(case when l_linenumber > 4 then l_discount end) as r from lineitem group by all) where f is not null and r is not null")
-def paired_first_repeat(spark, d):
-    pair = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("trace_id")).agg(F.avg(F.when(F.col("l_linenumber") == 1, F.col("l_discount"))).alias("f"), F.avg(F.when(F.col("l_linenumber") > 4, F.col("l_discount"))).alias("r"))
-    return pair.where("f is not null and r is not null").select("trace_id", r9("f", "first_drop"), r9("r", "repeat_drop"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("trace_id"), F.col("l_returnflag").alias("kind"), "l_discount")
+    return summaries.total_by_kind(rows, "l_discount", "kind").select("kind", "traces", F.round("mean_total", 6).alias("mean_total"), F.round("mean_mentions", 6).alias("mean_mentions"))
 
 
 @query(r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s]', ' ', 'g'), '\b(the|a|an|likely|most|diagnosis|of|is|with|due|to)\b', ' ', 'g'), '\s+', ' ', 'g')) as answer from documents")
@@ -438,34 +420,88 @@ def accuracy_delta(spark, d):
     return importance.accuracies(placed).select("trace_id", "sentence_index", r9("resampling_accuracy_delta"), r9("counterfactual_accuracy_delta"))
 
 
-@query()
+_PLACED = F1.replace("as rollout_index", "as rollout_index, l_partkey") + """,
+pl as (select trace_id, boundary_index as sentence_index, 'remove' as arm, rollout_index, l_partkey, entity, valid, similarity from f1 where boundary_index <= 10
+  union all select trace_id, boundary_index - 1, 'keep', rollout_index, l_partkey, entity, valid, similarity from f1 where boundary_index >= 1
+  union all select trace_id, boundary_index, case when similarity::double < 0.5::double then 'counterfactual' else 'similar' end, rollout_index, l_partkey, entity, valid, similarity from f1 where boundary_index <= 10),
+vo as (select trace_id, count(distinct entity) as k from f1 where valid group by trace_id)"""
+
+
+def _both(tag: str, first: str, second: str, cells: str) -> str:
+    return f"""c{tag} as (select trace_id, sentence_index, entity, sum((arm = '{first}')::int)::bigint as p, sum((arm = '{second}')::int)::bigint as q from pl where valid and arm in ('{first}', '{second}') group by all),
+a{tag} as (select c{tag}.*, sum(p) over w as n, sum(q) over w as m from c{tag} window w as (partition by trace_id, sentence_index)),
+d{tag} as (select trace_id, sentence_index, {cells} from a{tag} join vo using (trace_id) group by all having max(n) > 0 and max(m) > 0)"""
+
+
+_JSD = "round((sum(case when p > 0 then p / n * log2(2 * (p / n) / (p / n + q / m)) else 0 end) + sum(case when q > 0 then q / m * log2(2 * (q / m) / (p / n + q / m)) else 0 end)) / 2, 9)"
+
+
+def _drawn(n: int, suffix: str = "") -> str:
+    of = "round(pow(2, -sum(case when {0} > 0 then {0} / %d * log2({0} / %d) else 0 end)), 9)" % (n, n)
+    return f"""t{n} as (select *, row_number() over (partition by trace_id, sentence_index, arm order by sha256(key), key) as t, count(*) over (partition by trace_id, sentence_index, arm) as own
+    from (select *, concat_ws(':', trace_id, sentence_index, arm, rollout_index) as key from pl where valid and entity <> '' and arm in ('keep', 'counterfactual'))),
+u{n} as (select *, min(own) over w as least, min(arm) over w <> max(arm) over w as two from t{n} window w as (partition by trace_id, sentence_index)),
+v{n} as (select trace_id, sentence_index, entity, sum((arm = 'counterfactual')::int)::bigint as p, sum((arm = 'keep')::int)::bigint as q, {n} as n, {n} as m from u{n} where two and least >= {n} and t <= {n} group by all),
+x{n} as (select trace_id, sentence_index, {of.format('q')} as ek, {of.format('p')} as ec, {_kl('p', 'q', 'n', 'm', 'count(*)')} as kl, {_kl('p', 'q', 'n', 'm', 'max(k)')} as klf from v{n} join vo using (trace_id) group by all),
+m{n} as (select trace_id, sentence_index, {n}::int as matched_n{suffix}, ek as matched_effective_keep{suffix}, ec as matched_effective_counterfactual{suffix}, kl as matched_kl_cf_keep{suffix}, klf as matched_kl_cf_keep_fixed{suffix},
+  round(ec / ek, 6) as matched_collapse_ratio{suffix}, ek <= 3 and round(ec / ek, 6) >= 2 as matched_is_anchor{suffix} from x{n})"""
+
+
+_COUNTS = ", ".join(f"coalesce(max(case when arm = '{a}' then js end), '{{}}') as {a}_counts" for a in ("keep", "remove", "counterfactual", "similar"))
+_TABLE = with_(
+    _PLACED,
+    "se as (select trace_id, max(boundary_index) as n_sentences, unnest(range(0, max(boundary_index)))::int as sentence_index from f1 group by trace_id)",
+    """co as (select trace_id, sentence_index, count(case when arm = 'remove' then 1 end) as remove_n, count(case when arm = 'keep' then 1 end) as keep_n, count(case when arm = 'counterfactual' then 1 end) as counterfactual_n, count(case when arm = 'similar' then 1 end) as similar_n,
+  count(case when arm = 'remove' and not valid then 1 end) as remove_invalid, count(case when arm = 'keep' and not valid then 1 end) as keep_invalid, round(count(case when arm = 'counterfactual' then 1 end) / count(case when arm in ('counterfactual', 'similar') then 1 end), 9) as alternative_trajectory_fraction,
+  round(avg(case when arm in ('counterfactual', 'similar') then similarity::double end), 6) as mean_replacement_similarity, round(count(distinct case when arm in ('counterfactual', 'similar') then l_partkey end) / count(case when arm in ('counterfactual', 'similar') then 1 end), 9) as unique_replacement_fraction,
+  avg(case when arm = 'remove' and valid then (entity[1] = 'R')::int end) as ra, avg(case when arm = 'keep' and valid then (entity[1] = 'R')::int end) as ka, avg(case when arm = 'counterfactual' and valid then (entity[1] = 'R')::int end) as ca from pl group by all)""",
+    f"jc as (select trace_id, sentence_index, {_COUNTS} from (select trace_id, sentence_index, arm, to_json(map_from_entries(list((entity, c) order by entity)))::varchar as js from (select trace_id, sentence_index, arm, entity, count(*) as c from pl where valid group by all) group by all) group by all)",
+    _both("_r", "keep", "remove", f"{_kl('p', 'q', 'n', 'm', 'count(*)')} as resampling_kl_keep_remove, {_kl('q', 'p', 'm', 'n', 'count(*)')} as resampling_kl_remove_keep, {_kl('q', 'p', 'm', 'n', 'max(k)')} as resampling_kl_remove_keep_fixed, {_JSD} as resampling_jsd"),
+    _both("_k", "keep", "counterfactual", f"{_kl('p', 'q', 'n', 'm', 'count(*)')} as counterfactual_kl_keep_cf, {_kl('q', 'p', 'm', 'n', 'count(*)')} as counterfactual_kl_cf_keep, {_kl('p', 'q', 'n', 'm', 'max(k)')} as counterfactual_kl_keep_cf_fixed, {_kl('q', 'p', 'm', 'n', 'max(k)')} as counterfactual_kl_cf_keep_fixed, {_JSD} as counterfactual_jsd"),
+    _both("_s", "similar", "counterfactual", "round(1 - sum(least(p * m, q * n)) / (max(n) * max(m)), 9) as counterfactual_tvd"),
+    _drawn(16),
+    _drawn(10, "10"),
+) + """select se.*, round(se.sentence_index / se.n_sentences, 9) as position, k as case_vocab_size, co.* exclude (trace_id, sentence_index, ra, ka, ca), round(ra, 9) as remove_accuracy, round(ka, 9) as keep_accuracy, round(ca, 9) as counterfactual_accuracy,
+  round(ka - ra, 9) as resampling_accuracy_delta, round(ka - ca, 9) as counterfactual_accuracy_delta, jc.* exclude (trace_id, sentence_index), d_r.* exclude (trace_id, sentence_index), d_k.* exclude (trace_id, sentence_index), d_s.* exclude (trace_id, sentence_index),
+  m16.* exclude (trace_id, sentence_index), m10.* exclude (trace_id, sentence_index), 0.5::double as threshold
+from se left join vo using (trace_id) left join co using (trace_id, sentence_index) left join jc using (trace_id, sentence_index) left join d_r using (trace_id, sentence_index) left join d_k using (trace_id, sentence_index)
+  left join d_s using (trace_id, sentence_index) left join m16 using (trace_id, sentence_index) left join m10 using (trace_id, sentence_index)"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Floating figures at 9 digits, means of single-precision ones and ratios of rounded ones at 6; maps as JSON."""
+    coarse = ("mean_replacement_similarity", "matched_collapse_ratio", "matched_collapse_ratio10")
+    cells = {n: F.round(n, 6 if n in coarse else 9) for n, t in df.dtypes if t == "double" and n != "threshold"}
+    return df.withColumns(cells | {n: F.to_json(n) for n, t in df.dtypes if t.startswith("map")})
+
+
+@query(_TABLE)
 def importance_table(spark, d):
     rows = numbered_samples(spark, d).select("trace_id", "boundary_index", "rollout_index", "entity", "valid", "similarity", F.substring("entity", 1, 1).alias("flag"), F.concat_ws(" ", F.lit("part"), "l_partkey").alias("first_sentence"))
     last = rows.groupBy("trace_id").agg(F.max("boundary_index").alias("last_boundary"))
-    return importance.importance_table(rows.withColumn("is_correct", F.col("flag") == "R"), last, 0.5)
+    return _rounded(importance.importance_table(rows.withColumn("is_correct", F.col("flag") == "R"), last, 0.5))
 
 
-@query()
+@query(with_(_PLACED, _drawn(16)) + "select * from m16")
 def matched_arms(spark, d):
     rows = numbered_samples(spark, d)
     last = rows.groupBy("trace_id").agg(F.max("boundary_index").alias("last_boundary"))
     placed = importance.sentence_samples(rows.select("trace_id", "boundary_index", "rollout_index", "entity", "valid", "similarity"), last, F.lit(0.5))
     key = F.concat_ws(":", F.col("trace_id").cast("string"), F.col("sentence_index").cast("string"), "arm", F.col("rollout_index").cast("string"))
-    return importance.matched(placed, 16, key, vocabulary=importance.vocabulary(rows))
+    return _rounded(importance.matched(placed, 16, key, vocabulary=importance.vocabulary(rows)))
 
 
-@query("select c_mktsegment, max(case when n_regionkey = 0 then m end) as r0, max(case when n_regionkey = 1 then m end) as r1 from (select c_mktsegment, n_regionkey, round(median(c_acctbal), 6) as m from customer join nation on c_nationkey = n_nationkey group by all) group by all")
+@query("select c_mktsegment, " + ", ".join(f"max(case when n_regionkey = {i} then m end) as r{i}" for i in range(5)) + " from (select c_mktsegment, n_regionkey, round(median(c_acctbal), 6) as m from customer join nation on c_nationkey = n_nationkey group by all) group by all")
 def pivot_median(spark, d):
     rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    made = rows.groupBy("c_mktsegment").pivot("n_regionkey", [0, 1]).agg(F.round(F.percentile("c_acctbal", F.lit(0.5)), 6))
-    return made.select("c_mktsegment", F.col("0").alias("r0"), F.col("1").alias("r1"))
+    return summaries.cross_table(rows, ["c_mktsegment"], "n_regionkey", range(5), F.round(F.percentile("c_acctbal", F.lit(0.5)), 6), "r")
 
 
-@query("select r_name, count(*) as n, round(avg(m), 6) as mean_of_means, round(coalesce(stddev_samp(m) / sqrt(count(*)), 0), 6) as se from (select r_name, n_name, avg(c_acctbal) as m from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all) group by r_name")
+@query("select r_name, count(*) as n, round(avg(m), 6) as mean_of_means, round(stddev_samp(m) / sqrt(count(*)), 6) as se from (select r_name, n_name, avg(c_acctbal) as m from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all) group by r_name")
 def mean_of_means(spark, d):
     nations = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    each = table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", "n_name").agg(F.avg("c_acctbal").alias("m"))
-    return each.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("m"), 6).alias("mean_of_means"), F.round(F.coalesce(F.stddev_samp("m") / F.sqrt(F.count(F.lit(1))), F.lit(0.0)), 6).alias("se"))
+    rows = table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    return summaries.mean_of_means(rows, "c_acctbal", ["n_name"], ["r_name"]).select("r_name", "n", F.round("mean", 6).alias("mean_of_means"), F.round("se", 6).alias("se"))
 
 
 @query(with_(F1) + "select trace_id, boundary_index, to_json(map_from_entries(list((entity, c) order by entity)))::varchar as counts from (select trace_id, boundary_index, entity, count(*) as c from f1 group by all) group by all")

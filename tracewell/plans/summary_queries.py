@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import curves, distributions, gates, ledger, mentions, ranking, stats
-from .fixtures import COMMIT, CURVE, F1, HIST, PAIRS, samples, table, with_
+from ..operators import curves, distributions, gates, ledger, mentions, stats, summaries
+from .fixtures import COMMIT, CURVE, F1, HIST, PAIRS, r9, registry, samples, table, with_
 from .study_queries import _MENTIONS, _mentions
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def r9(c: str, name: str | None = None):
-    return F.round(c, 9).alias(name or c)
+QUERIES, SQL, query = registry()
 
 
 _ALL = with_(F1, HIST, PAIRS, CURVE, COMMIT).rstrip()
@@ -42,15 +26,14 @@ def _commits(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query(_ALL + " select cut, count(case when x < cut then 1 end) as below, round(100 * count(case when x < cut then 1 end) / count(*), 6) as percent from (select commit_boundary / last_boundary as x from m where commit_boundary is not null), (select unnest([0.25, 0.5, 0.75])::double as cut) group by cut")
 def cumulative_share(spark, d):
     x = _commits(spark, d)[2].where("commit_boundary is not null").select((F.col("commit_boundary") / F.col("last_boundary")).alias("x"))
-    rows = x.withColumn("cut", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    return rows.groupBy("cut").agg(F.count_if(F.col("x") < F.col("cut")).alias("below"), F.round(100 * F.count_if(F.col("x") < F.col("cut")) / F.count(F.lit(1)), 6).alias("percent"))
+    return summaries.cumulative_share(x, "x", (0.25, 0.5, 0.75)).select("cut", "below", F.round("percent", 6).alias("percent"))
 
 
 @query(_ALL + " select b.bin, count(case when trace_id % 2 = 0 then 1 end) as even, count(case when trace_id % 2 = 1 then 1 end) as odd, count(trace_id) as total from (select unnest(['<.25', '<.5', '<.75', 'else']) as bin) b left join (select trace_id, case when x < .25 then '<.25' when x < .5 then '<.5' when x < .75 then '<.75' else 'else' end as bin from (select trace_id, commit_boundary / last_boundary as x from m where commit_boundary is not null)) c using (bin) group by b.bin")
 def composition(spark, d):
     rows = _commits(spark, d)[2].where("commit_boundary is not null").select("trace_id", gates.depth_bin(F.col("commit_boundary") / F.col("last_boundary")).alias("bin"))
-    spine = rows.sparkSession.createDataFrame([("<.25",), ("<.5",), ("<.75",), ("else",)], "bin string")
-    return spine.join(rows, "bin", "left").groupBy("bin").agg(F.count_if(F.col("trace_id") % 2 == 0).alias("even"), F.count_if(F.col("trace_id") % 2 == 1).alias("odd"), F.count("trace_id").alias("total"))
+    found = summaries.composition(rows.withColumn("parity", F.col("trace_id") % 2), "bin", ("<.25", "<.5", "<.75", "else"), "parity", (0, 1), "p")
+    return found.select("bin", F.col("p0").alias("even"), F.col("p1").alias("odd"), "total")
 
 
 @query(_ALL + """, st as (select m.trace_id, max(h.c / s.n) as top, max(c.tvd_max_forward) as attained from m join h on h.trace_id = m.trace_id and h.boundary_index = commit_boundary join s on s.trace_id = m.trace_id and s.boundary_index = commit_boundary
@@ -79,28 +62,16 @@ def r9_avg(c: str):
     return F.round(F.avg(c), 9)
 
 
-@query(_ALL + """, up as (select delta, x, row_number() over (partition by delta order by x) as t, count(*) over (partition by delta) as n from (
-  select trace_id, num100 / 100.0::double as delta, min(case when ok then i end) / 11.0::double as x from (select trace_id, i, num100, bool_and(100 * num <= num100 * den) as ok from p, (select unnest([10, 20, 30])::bigint as num100) group by all) group by all) where x is not null)
-select delta, round(x, 9) as upper_median_depth from up where t = n // 2 + 1""")
-def delta_console(spark, d):
-    pairs = distributions.forward_pairs(distributions.histogram(samples(spark, d)))
-    rows = pairs.withColumn("hundredths", F.explode(F.array(*[F.lit(v).cast("long") for v in (10, 20, 30)])))
-    calm = rows.groupBy("trace_id", "i", "hundredths").agg(F.bool_and(100 * F.col("num") <= F.col("hundredths") * F.col("den")).alias("calm"))
-    depth = calm.groupBy("trace_id", (F.col("hundredths") / 100.0).alias("delta")).agg((F.min(F.when(F.col("calm"), F.col("i"))) / 11.0).alias("x"))
-    return ranking.upper_median(depth, ["delta"], "x").select("delta", r9("upper_median", "upper_median_depth"))
-
-
 @query("select top_segment, count(*) as nations from (select n_name, arg_max(c_mktsegment, (md, neg)) as top_segment from (select n_name, c_mktsegment, median(c_acctbal) as md, -ascii(c_mktsegment) as neg from customer join nation on c_nationkey = n_nationkey group by all) group by n_name) group by top_segment")
 def direction_count(spark, d):
-    each = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "c_mktsegment").agg(F.percentile("c_acctbal", F.lit(0.5)).alias("md"))
-    top = each.groupBy("n_name").agg(F.max_by("c_mktsegment", F.struct("md", -F.ascii("c_mktsegment"))).alias("top_segment"))
-    return top.groupBy("top_segment").agg(F.count(F.lit(1)).alias("nations"))
+    each = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", F.col("c_mktsegment").alias("top_segment")).agg(F.percentile("c_acctbal", F.lit(0.5)).alias("md"))
+    return summaries.direction_count(each, "n_name", "top_segment", "md", ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")).withColumnRenamed("units", "nations")
 
 
 @query("select case_id, round(avg(w / g), 9) as difficulty from (select l_linenumber as model, l_orderkey % 100 as case_id, count(case when l_returnflag = 'A' then 1 end) as w, count(case when l_returnflag <> 'N' then 1 end) as g from lineitem group by all having g > 0) group by case_id")
 def case_difficulty(spark, d):
-    each = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("model"), (F.col("l_orderkey") % 100).alias("case_id")).agg(F.count_if(F.col("l_returnflag") == "A").alias("w"), F.count_if(F.col("l_returnflag") != "N").alias("g"))
-    return each.where("g > 0").groupBy("case_id").agg(F.round(F.avg(F.col("w") / F.col("g")), 9).alias("difficulty"))
+    each = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("model"), (F.col("l_orderkey") % 100).alias("case_id")).agg(F.count_if(F.col("l_returnflag") == "A").alias("n_wrong"), F.count_if(F.col("l_returnflag") != "N").alias("n_graded"))
+    return summaries.case_difficulty(each.where("n_graded > 0")).select("case_id", r9("case_wrong_frac", "difficulty"))
 
 
 _KINDS = with_(_MENTIONS).rstrip() + """, ki as (select trace_id, sentence_index, case when sentence_index = first_index then 'first' when mentions_final = 1 then 'repeat' when mentions_other = 1 then 'other' else 'none' end as kind
@@ -115,9 +86,8 @@ def _kinds(spark, d) -> DataFrame:
 
 @query(_KINDS + "select kind, count(*) as n, round(avg(sentence_index), 6) as mean, round(median(sentence_index), 6) as median, round(stddev_samp(sentence_index), 6) as std from ki group by kind")
 def kind_summary(spark, d):
-    return _kinds(spark, d).groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("sentence_index"), 6).alias("mean"), F.round(F.percentile("sentence_index", F.lit(0.5)), 6).alias("median"), F.round(F.stddev_samp("sentence_index"), 6).alias("std")
-    )
+    found = summaries.describe(_kinds(spark, d), "sentence_index", ["kind"])
+    return found.select("kind", "n", *(F.round(c, 6).alias(c) for c in ("mean", "median", "std")))
 
 
 @query(with_(_MENTIONS).rstrip() + " select case_id, round(avg(mentions_final), 9) as final_rate, round(avg(mentions_other), 9) as other_rate, count(distinct trace_id) as traces from me group by case_id")
@@ -176,14 +146,6 @@ def sensitivity_text(spark, d):
     return rows.agg(F.round(100 * F.avg((F.col("l_discount") > 0.05).cast("int")), 6).alias("percent"), F.format_string("%.1f [%.1f, %.1f]", q(0.5), q(0.25), q(0.75)).alias("spread"))
 
 
-@query(with_(F1) + "select trace_id, boundary_index, count(*) as n, round(avg(case when similarity is null then 1 else 0 end), 9) as missing from f1 group by all having count(case when similarity < 0.2 then 1 end) > 0 order by count(case when similarity < 0.2 then 1 end) desc, trace_id, boundary_index limit 10")
-def fewest_similar(spark, d):
-    low = F.count_if(F.col("similarity") < F.lit(0.2).cast("double"))
-    rows = samples(spark, d).groupBy("trace_id", "boundary_index").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("similarity").isNull().cast("int")), 9).alias("missing"), low.alias("low")).where("low > 0")
-    return ranking.top_rows(rows, [F.desc("low"), "trace_id", "boundary_index"], 10).drop("low")
-
-
 @query("select user_id, event_type, n, round(n / sum(n) over (partition by user_id), 9) as share from (select user_id, event_type, count(*) as n from events group by all)")
 def shares_by_user(spark, d):
-    rows = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select("user_id", "event_type", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("user_id")), 9).alias("share"))
+    return summaries.shares(table(spark, d, "events"), ["user_id"], "event_type").select("user_id", "event_type", "n", r9("share"))

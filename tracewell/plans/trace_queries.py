@@ -6,25 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import curves, distributions, gates, ranking
-from .fixtures import COMMIT, CURVE, F1, F1B, F2, HIST, PAIRS, numbered_samples, samples, short_traces, with_
+from .fixtures import COMMIT, CURVE, F1, F1B, F2, HIST, PAIRS, numbered_samples, r9, registry, samples, short_traces, with_
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def r9(c: str, name: str | None = None):
-    return F.round(c, 9).alias(name or c)
+QUERIES, SQL, query = registry()
 
 
 def _hist(spark, d, coarse=False) -> DataFrame:
@@ -252,7 +236,7 @@ def linear_quantiles(spark, d):
 
 @query("select o_orderkey, (rank() over (order by o_orderdate) + (count(*) over (partition by o_orderdate) - 1) / 2)::double as rank from orders")
 def avg_ranks(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", ranking.average_rank("o_orderdate").cast("double").alias("rank"))
+    return ranking.average_ranks(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate"), "o_orderdate", "rank").select("o_orderkey", F.col("rank").cast("double").alias("rank"))
 
 
 @query("""select s_suppkey, round(least(1, min(raw) over (order by p desc)), 9) as q from (
