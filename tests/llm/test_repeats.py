@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tracewell.llm.repeats import covered, without_repeats
+from tracewell.llm.repeats import covered, previous_smaller, suffix_order, without_repeats
 
 
 def brute(rows, length):
@@ -46,12 +46,38 @@ def rows(seed=0):
     return out
 
 
-@pytest.mark.parametrize("chunk_bytes,bucket_bytes", [(16_000_000, 8_000_000), (2_000, 1_000)])
-def test_against_brute_force(spark, chunk_bytes, bucket_bytes):
-    data = rows()
+def result(spark, data, **more):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in data], "doc_id long, text string, chunk int, kept string").repartition(3)
-    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in without_repeats(df, chunk_bytes=chunk_bytes, bucket_bytes=bucket_bytes, keep_bytes=True).collect()), key=str)
-    assert got == brute(data, 50)
+    return sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in without_repeats(df, keep_bytes=True, **more).collect()), key=str)
+
+
+@pytest.mark.parametrize("chunk_bytes,bucket_bytes,hot", [(16_000_000, 8_000_000, 4096), (2_000, 1_000, 4096), (2_000, 1_000, 0), (2_000, 1_000, 3)])
+def test_against_brute_force(spark, chunk_bytes, bucket_bytes, hot):
+    data = rows()
+    assert result(spark, data, chunk_bytes=chunk_bytes, bucket_bytes=bucket_bytes, hot=hot) == brute(data, 50)
+
+
+@pytest.mark.parametrize("length,piece", [(220, 100), (300, 150), (24, 8)])
+def test_other_lengths(spark, length, piece):
+    r = random.Random(3)
+    passage = " ".join(str(r.randrange(1000)) for _ in range(400))
+    data = [(i, passage[r.randrange(300) : 600 + r.randrange(900)] + str(i)) for i in range(30)] + rows()[:40]
+    assert result(spark, data, length=length, piece=piece, chunk_bytes=5_000, bucket_bytes=4_000) == brute(data, length)
+
+
+def test_suffix_order_and_smaller_positions():
+    r = np.random.default_rng(5)
+    data = np.concatenate([r.integers(97, 99, 3000), np.tile(r.integers(97, 99, 37), 20)]).astype(np.uint8)
+    strings = {}
+    for i in range(len(data) - 50 + 1):
+        strings.setdefault(data[i : i + 50].tobytes(), i)
+    starts = np.array(r.permutation(list(strings.values())))
+    assert [data[i : i + 50].tobytes() for i in starts[suffix_order(data, starts, 50)]] == sorted(strings)
+    values, first = r.integers(0, 30, 500), r.random(500) < 0.05
+    first[0] = True
+    low = np.maximum.accumulate(np.where(first, np.arange(500), 0))
+    want = [max((j for j in range(low[i], i) if values[j] < values[i]), default=-1) for i in range(500)]
+    assert previous_smaller(values, first).tolist() == want
 
 
 def test_empty(spark):

@@ -1,9 +1,10 @@
-"""Removal of passages that an earlier document holds, by equal windows.
+"""Removal of passages that an earlier document holds, by longest previous factors.
 
-Only factors of at least ``length`` bytes matter and only smaller documents count
-as earlier, so no suffix order or LPF array is built: windows of ``length`` bytes
-are grouped by hash, compared byte by byte, and the least document of a group
-decides. Candidates are found first, so that little text is grouped.
+Candidates are found first: windows of ``length`` bytes whose least short string
+other documents have as well. Where such windows meet they are put in suffix
+order, as far as ``length`` bytes go. The previous and the next smaller position
+in that order, which are the nearest windows of smaller documents on either side,
+tell whether a window's longest previous factor reaches ``length``.
 """
 
 from __future__ import annotations
@@ -123,12 +124,51 @@ def _runs(chunk: Chunk, length: int, piece: int, bits: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and which are in more than one document."""
+def _whole_run(one: np.ndarray, two: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A run's hash, from those of its first and last window and its size."""
+    return _mixed(one * np.uint64(3) + (two ^ (two >> np.uint64(7))) * BASE + windows.astype(np.uint64))
+
+
+def _distinct(runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, which are in more than one document, and some number of different runs of each, 255 at most.
+
+    The number is that of all runs where these are fewer than 16.
+    """
+    key, doc, first, last, one, two = runs
+    if not len(key):
+        return key, np.zeros(0, bool), np.zeros(0, np.uint8)
     order = np.argsort(key, kind="stable")
     key, doc = key[order], doc[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[starts], (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts) if len(key) else np.zeros(0, bool))
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    n = sizes.copy()
+    many = np.flatnonzero(np.repeat(sizes >= 16, sizes))
+    if len(many):
+        at = order[many]
+        whole, place = _whole_run(one[at], two[at], last[at] - first[at]), np.repeat(np.arange(len(starts)), sizes)[many]
+        turn = np.lexsort((whole, place))
+        whole, place = whole[turn], place[turn]
+        new = np.concatenate([[True], (whole[1:] != whole[:-1]) | (place[1:] != place[:-1])])
+        n[np.unique(place)] = np.bincount(place[new])[np.unique(place)]
+    return key[starts], np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), np.minimum(n, 255).astype(np.uint8)
+
+
+def _single(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of runs, one by one: the run of each, where it starts, and its hash."""
+    windows = last - first + 1
+    run = np.repeat(np.arange(len(first)), windows)
+    inside = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hashes = np.zeros(len(run), np.uint64)
+    at = np.cumsum(windows)
+    low = 0
+    while low < len(first):  # some runs at a time
+        high = max(low + 1, int(np.searchsorted(at, at[low] + 100_000)))
+        sizes = windows[low:high] + length - 1
+        own = slice(at[low] - windows[low], at[high - 1])
+        place = np.repeat(np.cumsum(sizes) - sizes, windows[low:high]) + inside[own]
+        hashes[own] = rolling(_cut(data, first[low:high], sizes), (length,))[length][place]
+        low = high
+    return run, first[run] + inside, hashes
 
 
 def _cut(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -137,11 +177,68 @@ def _cut(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return data[np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
 
 
+def _equal_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Which runs have the bytes of their counterparts."""
+    out = size_a == size_b
+    for low in range(0, len(a), 20_000):
+        some = low + np.flatnonzero(out[low : low + 20_000])
+        if len(some):
+            sizes = size_a[some]
+            out[some] = ~np.logical_or.reduceat(_cut(data, a[some], sizes) != _cut(data, b[some], sizes), np.cumsum(sizes) - sizes)
+    return out
+
+
+def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as numbers in their order."""
+    return np.lib.stride_tricks.sliding_window_view(data, 8)[at].view(">u8").ravel().astype(np.uint64)
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Positions of different strings of ``length`` bytes (8 at least) in order of their bytes.
+
+    They are ordered by eight bytes, and those still equal by the next ones.
+    """
+    order = np.argsort(_word(data, starts), kind="stable")
+    key = _word(data, starts[order])
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    for at in [*range(8, length - 7, 8), length - 8]:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        some = np.flatnonzero(tied)
+        if not len(some):
+            break
+        segment = np.cumsum(new)[some]
+        key = _word(data, starts[order[some]] + at)
+        turn = np.lexsort((key, segment))
+        order[some] = order[some][turn]
+        key = key[turn]
+        new[some[1:]] |= (key[1:] != key[:-1]) & (some[1:] == some[:-1] + 1)
+    return order
+
+
+def previous_smaller(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each position the nearest one before it of a smaller value, within runs that start where ``first`` is set; -1 for none.
+
+    All between a position and its pointer are no smaller, so a pointer moves on
+    to its target's own pointer until it finds a smaller value.
+    """
+    pointer = np.where(first, -1, np.arange(len(values)) - 1)
+    left = np.flatnonzero(pointer >= 0)
+    while True:
+        left = left[values[pointer[left]] >= values[left]]
+        if not len(left):
+            return pointer
+        pointer[left] = pointer[pointer[left]]
+        left = left[pointer[left] >= 0]
+
+
 def covered(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """Which positions start a string of ``length`` bytes that one of a smaller document starts as well.
 
-    Positions are grouped by these strings, and the least document of a group
-    counts. Groups are told by 64-bit hashes and then compared byte by byte.
+    Equal strings are told by 64-bit hashes, which are then compared byte by byte;
+    the different ones are put in suffix order. A position's longest previous
+    factor reaches ``length`` if its previous or next smaller one in that order
+    (smaller by document) is of an equal string.
     """
     hashes = np.zeros(len(starts), np.uint64)
     for low in range(0, len(starts), 100_000):  # starts ascend
@@ -159,9 +256,19 @@ def covered(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int)
         order = np.lexsort(strings[starts].T[::-1])
         new = np.concatenate([[True], (strings[starts[order[1:]]] != strings[starts[order[:-1]]]).any(1)])
     runs = np.flatnonzero(new)
-    least = np.minimum.reduceat(docs[order], runs)
+    sizes = np.diff(np.concatenate([runs, [len(order)]]))
+    by_bytes = suffix_order(data, starts[order[runs]], length)
+    sizes = sizes[by_bytes]
+    ends = np.cumsum(sizes)
+    order = order[np.repeat(runs[by_bytes] - ends + sizes, sizes) + np.arange(len(order))]
+    first = np.zeros(len(order), bool)
+    first[ends - sizes] = True
+    ranks = docs[order]
+    found = previous_smaller(ranks, first) >= 0
+    last = np.concatenate([first[1:], [True]])
+    found |= previous_smaller(ranks[::-1], last[::-1])[::-1] >= 0
     out = np.zeros(len(order), bool)
-    out[order] = docs[order] > np.repeat(least, np.diff(np.concatenate([runs, [len(order)]])))
+    out[order] = found
     return out
 
 
@@ -169,7 +276,7 @@ def _intervals(chunk: int, starts: np.ndarray, ends: np.ndarray) -> tuple[int, b
     return chunk, zstandard.compress(np.stack([starts, ends]).astype(np.int64).tobytes(), 1)
 
 
-def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, keep_bytes: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, keep_bytes: bool = False, hot: int = 4096) -> DataFrame:
     """Remove each byte that a string of ``length`` bytes covers which also starts in a document of smaller id.
 
     Returns, per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal
@@ -185,13 +292,15 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
     and learns which of them other documents have; two equal windows
     have the same anchor, so no match is lost. Windows under such anchors are then
     sent with their bytes, each distinct run of them once for a chunk, which
-    decides the other copies itself. Where they meet they are put in order, and
-    what is covered goes back to its chunk, and tasks hold a chunk or a bucket.
-    Equal runs are sent once for a chunk, but all runs under one anchor go to one
-    bucket, so an anchor in ever different surroundings makes it grow with the text.
+    decides the other copies itself (runs of one hash are compared byte by byte).
+    Where they meet :func:`covered` decides, what is covered goes back to its
+    chunk, and tasks hold a chunk or a bucket. An anchor with more than ``hot``
+    different runs, summed over chunks, is split: its windows are sent one by one,
+    to buckets by the hash of the whole window, where equal ones still meet. Equal
+    windows are sent once for each chunk that has them.
     """
-    if not 8 <= piece < length or length - piece > 200:
-        raise ValueError("piece must be at least 8 and below length, by 200 at most")
+    if not 8 <= piece < length or length - piece > 200 or 2 * length - piece > 65_535:
+        raise ValueError("piece must be at least 8 and below length, by 200 at most, and length below 32768")
     shift = KEY_BITS
     total = docs.agg(F.sum(F.octet_length(utf8(F.col("text"))))).first()[0] or 0
     bits = max(1, math.ceil(math.log2(max(total, 1) / bucket_bytes))) if total > bucket_bytes else 1
@@ -199,30 +308,31 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
     def send_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, several = _distinct(*_runs(Chunk.unpack(blob), length, piece, bits)[:2])
+                keys, several, different = _distinct(_runs(Chunk.unpack(blob), length, piece, bits))
                 buckets, starts = np.unique(keys >> shift, return_index=True)
                 ends = [*starts[1:].tolist(), len(keys)]
-                packed = [(squeezed(np.diff(keys[a:b] & ((1 << KEY_BITS) - 1), prepend=0).astype(np.uint32)), np.packbits(several[a:b]).tobytes()) for a, b in zip(starts.tolist(), ends, strict=True)]
+                packed = [(squeezed(np.diff(keys[a:b] & ((1 << KEY_BITS) - 1), prepend=0).astype(np.uint32)), np.packbits(several[a:b]).tobytes(), zstandard.compress(different[a:b].tobytes(), 1)) for a, b in zip(starts.tolist(), ends, strict=True)]
                 n = len(buckets)
                 sizes = [b - a for a, b in zip(starts.tolist(), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array([number] * n, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1))], ["bucket", "chunk", "n", "keys", "several"])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array([number] * n, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1, 2))], ["bucket", "chunk", "n", "keys", "several", "different"])
 
     def match_keys(group: pa.Table) -> pa.Table:
         parts = []
-        for n, blob, flags in zip(*(group.column(c).to_pylist() for c in ("n", "keys", "several")), strict=True):
-            parts.append((np.cumsum(restored(blob, np.uint32).astype(np.int64)), np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool)))
-        keys = np.concatenate([k for k, _ in parts])
-        several = np.concatenate([s for _, s in parts])
+        for n, blob, flags, numbers in zip(*(group.column(c).to_pylist() for c in ("n", "keys", "several", "different")), strict=True):
+            parts.append((np.cumsum(restored(blob, np.uint32).astype(np.int64)), np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool), np.frombuffer(zstandard.decompress(numbers), np.uint8)))
+        keys, several, different = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.argsort(keys, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(keys)]]))
         shared = np.zeros(len(keys), bool)
         shared[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(several[order], starts), sizes)
+        split = np.zeros(len(keys), bool)
+        split[order] = np.repeat(np.add.reduceat(different[order].astype(np.int64), starts) > hot, sizes)
         at, flags = 0, []
-        for k, _ in parts:
-            flags.append(np.packbits(shared[at : at + len(k)]).tobytes())
+        for k, *_ in parts:
+            flags.append((np.packbits(shared[at : at + len(k)]).tobytes(), np.packbits(split[at : at + len(k)]).tobytes() if split[at : at + len(k)].any() else b""))
             at += len(k)
-        return pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk"), "shared": pa.array(flags, pa.binary())})
+        return pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk"), "shared": pa.array([f[0] for f in flags], pa.binary()), "split": pa.array([f[1] for f in flags], pa.binary())})
 
     def send_runs(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int, bytes, bytes | None]] = []
@@ -230,34 +340,43 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
             chunk = Chunk.unpack(blob)
             runs = _runs(chunk, length, piece, bits)
             keys = np.unique(runs[0])
-            reply = dict(zip(right.column("bucket").to_pylist(), right.column("shared").to_pylist(), strict=True))
+            reply = {b: flags for b, *flags in zip(*(right.column(c).to_pylist() for c in ("bucket", "shared", "split")), strict=True)}
             buckets, starts = np.unique(keys >> shift, return_index=True)
-            shared = np.zeros(len(keys), bool)
+            shared, split = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
             for bucket, a, b in zip(buckets.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-                shared[a:b] = np.unpackbits(np.frombuffer(reply[bucket], np.uint8), count=b - a)
-            repeated = shared[np.searchsorted(keys, runs[0])]
+                shared[a:b] = np.unpackbits(np.frombuffer(reply[bucket][0], np.uint8), count=b - a)
+                if reply[bucket][1]:
+                    split[a:b] = np.unpackbits(np.frombuffer(reply[bucket][1], np.uint8), count=b - a)
+            place = np.searchsorted(keys, runs[0])
+            repeated = shared[place]
             if not repeated.any():
                 continue
+            data = np.frombuffer(chunk.data, np.uint8)
+            alone = repeated & split[place]
+            repeated &= ~alone
             key, doc, first, last, one, two = (c[repeated] for c in runs)
+            if alone.any():
+                run, at, hashes = _single(data, runs[2][alone], runs[3][alone], length)
+                key, doc, first, last, one, two = (np.concatenate(c) for c in zip((key, doc, first, last, one, two), (_keys(hashes, bits), runs[1][alone][run], at, at, hashes, hashes), strict=True))
             rank = chunk.ids[doc]
             # of runs of the same bytes the least document's is sent; larger ones are covered
-            whole = _mixed(one * np.uint64(3) + (two ^ (two >> np.uint64(7))) * BASE + (last - first).astype(np.uint64))
+            whole = _whole_run(one, two, last - first)
             order = np.lexsort((rank, whole))
             new = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
-            lead = np.repeat(rank[order][new], np.diff(np.concatenate([np.flatnonzero(new), [len(order)]])))
-            larger = np.zeros(len(order), bool)
-            larger[order] = rank[order] > lead
+            lead = np.zeros(len(order), np.int64)
+            lead[order] = np.repeat(order[new], np.diff(np.concatenate([np.flatnonzero(new), [len(order)]])))
+            larger = rank > rank[lead]
+            larger[larger] = _equal_runs(data, first[larger], first[lead[larger]], last[larger] - first[larger] + length, last[lead[larger]] - first[lead[larger]] + length)
             if larger.any():
                 found.append((-1 - number, *_intervals(number, first[larger], last[larger] + length), None))
             own = np.flatnonzero(~larger)
             own = own[np.argsort(key[own], kind="stable")]
             bucket = key[own] >> shift
-            data = np.frombuffer(chunk.data, np.uint8)
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True):
                 some = own[a:b]
                 sizes = last[some] - first[some] + length
-                text = zstandard.compress(sizes.astype(np.uint8).tobytes() + _cut(data, first[some], sizes).tobytes(), 3)
+                text = zstandard.compress(sizes.astype(np.uint16).tobytes() + _cut(data, first[some], sizes).tobytes(), 3)
                 found.append((int(bucket[a]), number, squeezed(np.stack([rank[some], first[some]], 1).ravel().astype(np.int64)), text))
         return pa.table({"bucket": pa.array([f[0] for f in found], pa.int64()), "chunk": pa.array([f[1] for f in found], pa.int64()), "places": pa.array([f[2] for f in found], pa.binary()), "text": pa.array([f[3] for f in found], pa.binary())})
 
@@ -271,8 +390,8 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
             rank.append(both[:, 0])
             first.append(both[:, 1])
             counts.append(len(both))
-            sizes.append(raw[: len(both)].astype(np.int64))
-            text.append(raw[len(both) :])
+            sizes.append(raw[: 2 * len(both)].view(np.uint16).astype(np.int64))
+            text.append(raw[2 * len(both) :])
         all_sizes = np.concatenate(sizes)
         windows = all_sizes - length + 1
         begin = np.cumsum(all_sizes) - all_sizes
@@ -316,8 +435,8 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
         return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))})
 
     chunks = chunked(docs, chunk_bytes)
-    keys = chunks.mapInArrow(send_keys, "bucket long, chunk long, n long, keys binary, several binary")
-    replies = keys.groupBy("bucket").applyInArrow(match_keys, "bucket long, chunk long, shared binary")
+    keys = chunks.mapInArrow(send_keys, "bucket long, chunk long, n long, keys binary, several binary, different binary")
+    replies = keys.groupBy("bucket").applyInArrow(match_keys, "bucket long, chunk long, shared binary, split binary")
     runs = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send_runs, "bucket long, chunk long, places binary, text binary")
     spans = checkpointed(runs.groupBy("bucket").applyInArrow(match_runs, "chunk long, spans binary"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
