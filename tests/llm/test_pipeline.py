@@ -42,7 +42,7 @@ def test_stages(spark, folder):
             assert out.columns == columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
         made = out.collect()
         if name == "toxicity":
-            assert sorted(map(str, made)) == sorted(str(x) for x in rows if model.score(x.text)[0] < 0.5)
+            assert sorted(map(str, made)) == sorted(str(x) for x in rows if model.scored([x.text])[0][0] < 0.5)
             assert not any(w in (x.text or "") for x in made for w in ("zonk", "quux", "vile")) and len(made) > 520
         elif name == "exact_dedup":
             largest = defaultdict(list)

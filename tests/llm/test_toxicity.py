@@ -31,6 +31,13 @@ def test_index_equals_full_scan():
             assert [i for i in got if i >= 0] == [i for _, i in want] and np.allclose(cos[: len(want)], [s for s, _ in want])
 
 
+def test_queries_without_rare_terms():
+    index = BlockMaxIndex(*entries([{0: 1.0}] * 100), 100, 2, block=16)
+    for queries in ([{}], [{0: 1.0}], [{}, {0: 1.0}]):
+        rows, _ = index.search(*entries(queries), len(queries), 3)
+        assert [r.tolist() for r in rows] == [[0, 1, 2] if q else [-1, -1, -1] for q in queries]
+
+
 def test_blocks_are_skipped():
     # one term tells the first rows apart, a weak one is everywhere
     vectors = [{0: 0.1, 1: 0.9} if i < 40 else {0: 0.1, 2 + i % 7: 0.5} for i in range(4000)]

@@ -80,7 +80,7 @@ class BlockMaxIndex:
         sizes = self.sizes[terms[~common]]
         at = spread(self.starts[terms[~common]], sizes)
         where = np.repeat(texts[~common] * wide, sizes) + self.rows[at]
-        sums = np.bincount(where, weights=np.repeat(weights[~common], sizes) * self.weights[at], minlength=n * wide).reshape(n, wide)
+        sums = np.bincount(where, weights=np.repeat(weights[~common], sizes) * self.weights[at], minlength=n * wide).astype(np.float64, copy=False).reshape(n, wide)  # whole numbers if there is nothing to add
         if leave_out is not None:
             sums[np.arange(n), leave_out] = -10.0  # below any cosine
         k = min(k, wide)
