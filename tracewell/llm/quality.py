@@ -94,11 +94,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     Candidates are rated rows whose CRC-32 of the id as text is not divisible by
     ``folds``; the ``examples`` of least hash of the id are taken. The driver gets
     at most ``examples`` times ``dims`` numbers. Null ids and ratings teach
-    nothing; of repeated ratings the highest counts.
+    nothing; of repeated ratings the highest counts, and of repeated rows of an id
+    the least text, so that an id is one example.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y is not null and not isnan(y)")
     chosen = known.where(crc32_of_id(F.col("id")) % folds != 0).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(examples)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8(F.col("text")).alias("data")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8(F.col("text")).alias("data")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("data").alias("data"), F.max("y").alias("y"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
