@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Fixed pattern: a word is a run of anything but ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -51,9 +53,8 @@ def copies(rate: Column, doc_id: Column, seed: str) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def _with_copies(docs: DataFrame, rows: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
+def _with_copies(sizes: DataFrame, rows: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
     """``rows`` (doc_id, source and others) with their source's size, target, rate and the copies to take."""
-    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
     targets = source_targets(sizes, weights, most).withColumnRenamed("source", "of_source")
     joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of_source")), "inner").drop("of_source")
     return joined.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), seed))
@@ -70,13 +71,16 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     target 0 and gives no copies. Other columns are left out. An empty table
     gives an empty one. Only the sum for each source is shuffled, and the few
     sources come back by a join that Spark may broadcast by their measured size;
-    it splits a hot source otherwise.
+    it splits a hot source otherwise. Texts are read once: ids, sources and sizes
+    are kept in the shared folder.
     """
-    return _with_copies(docs, docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), weights, most, seed)
+    rows = checkpointed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    return _with_copies(rows.groupBy("source").agg(F.sum("size").alias("source_size")), rows, weights, most, seed)
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, each as often as :func:`mixed` says."""
     rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))
-    taken = _with_copies(docs, rows, weights, most, seed).where("copies > 0")
+    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
+    taken = _with_copies(sizes, rows, weights, most, seed).where("copies > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("time")).select("row.*")
