@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import exact_dedup, mixing, packing, simhash, toxicity
-from tracewell.llm.common import table, written
+from tracewell.llm.common import scratch, table, written
 from tracewell.llm.queries import VOCABULARY
 
 
@@ -42,8 +42,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, over the whole table of documents; each is written and reread as the next one's docs."""
+    """The stages one after another, over the whole table of documents; each is written and reread as the next one's docs.
+
+    What stages write for themselves is deleted when their result stands, and the
+    results before the last at the end.
+    """
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    with scratch(spark) as last:
+        for _, stage in STAGES:
+            with scratch(spark) as result:
+                result.append(written(stage(spark, docs, sf_dir)))
+            docs = result[0]
+        last.append(docs)
     return docs
