@@ -68,7 +68,7 @@ def manifest(payload: dict, path: str) -> None:
         there = json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
         stream.close()
         if there != payload:
-            changed = sorted(k for k in there.keys() | payload.keys() if there.get(k) != payload.get(k))
+            changed = sorted(k for k in there.keys() | payload.keys() if k not in there or k not in payload or there[k] != payload[k])
             raise ValueError(f"the run was begun with other settings: {changed}")
         return
     small_json(payload, path)
