@@ -72,8 +72,8 @@ def rows():
     return out + [(100, None), (101, ""), (None, "no id"), (5, out[5][1]), (5, out[5][1]), (102, "\n\t zz "), (103, "q" * 50)]
 
 
-@pytest.mark.parametrize("chunk_bytes", [16_000_000, 300])
-def test_against_recursion(spark, chunk_bytes):
+@pytest.mark.parametrize("chunk_bytes,fan,hot", [(16_000_000, 8, 4_000_000), (300, 8, 5), (150, 2, 0)])
+def test_against_recursion(spark, chunk_bytes, fan, hot):
     data = rows()
     df = spark.createDataFrame([(i, t, 1, "k", 2) for i, t in data], "doc_id long, text string, n int, key string, chunk int").repartition(3)
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
@@ -87,7 +87,7 @@ def test_against_recursion(spark, chunk_bytes):
         tokens = [*lowered(t).split(), "end"]
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
         want.append((i, held(i), len(tokens), sum(counts[w] > 0 for w in tokens), n, round(base, 6), round(s, 4)))
-    got = [(x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6), round(x.score, 4)) for x in language_scores(df, depth=3, chunk_bytes=chunk_bytes, bucket_bytes=chunk_bytes).collect()]
+    got = [(x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6), round(x.score, 4)) for x in language_scores(df, depth=3, chunk_bytes=chunk_bytes, bucket_bytes=chunk_bytes, fan=fan, hot=hot).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 

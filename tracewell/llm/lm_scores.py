@@ -14,12 +14,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Chunk, chunked, restored, squeezed
+from .chunks import Chunk, chunked
 from .common import checkpointed, partitions, utf8, written
 from .context_tree import EDGE, Level, downward, grouped, strings, upward
+from .exchange import ANSWERS, KEYS, KeyExchange, Route
 
 #: Bytes of text whose strings are handled at once.
 _BLOCK = 1_000_000
+#: What a row of keys holds.
+STRINGS, WORDS = 0, 1
 
 
 def _joined(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,14 +79,6 @@ def _hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_word_key, words), np.uint64, len(words)).view(np.int64)
 
 
-def _dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The order of keys by bucket and key, the buckets there, and where they start and end."""
-    bucket = _bucket(keys, bits)
-    order = np.lexsort((keys, bucket))
-    there, starts = np.unique(bucket[order], return_index=True)
-    return order, there, starts, np.concatenate([starts[1:], [len(keys)]]).astype(np.int64)
-
-
 def _strings_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings of some texts, sorted, and their counts."""
     parts, held = [], 0
@@ -96,46 +91,61 @@ def _strings_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]
     return _merged(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _string_values(totals: DataFrame, depth: int, parts: int, bits: int) -> DataFrame:
+def _put_together(level: Level, context: int) -> tuple[np.ndarray, ...]:
+    """What nodes give to those of a shorter context of so many bits: keys, zeros, ones, sums of weighted probabilities."""
+    shorter = (level.keys >> 8 & ((1 << context) - 1)) << 8 | (level.keys & 0xFF)
+    keys, place = np.unique(shorter, return_inverse=True)
+    sums = [np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys))]
+    for total, values in zip(sums, (level.zeros, level.ones, level.weighted), strict=True):
+        np.add.at(total, place, values)
+    return keys, *sums
+
+
+def _string_values(totals: DataFrame, depth: int, parts: int, bits: int, hot: int) -> DataFrame:
     """Logarithm (base 10) of the model's probability for each distinct string: columns bucket, key, value.
 
     Strings whose last two context bytes agree are in one partition, which has
     all nodes of depth 2 and more above them. What the nodes of depth 1 and 0
-    need is summed from all partitions; these have at most 256 contexts.
+    need is summed from all partitions; these have at most 256 contexts. Where
+    more than ``hot`` strings share these two bytes (65,536 contexts at most),
+    three have to agree, and the nodes of depth 2 are summed as well.
     """
-    dealt = totals.repartition(parts, F.shiftright("key", 8).bitwiseAND(0xFFFF))
-
-    def whole(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    two = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    counts = totals.groupBy(two.alias("two")).agg(F.count(F.lit(1)).alias("n"))
+    split = sorted(r.two for r in counts.where(F.col("n") > hot).collect()) if depth > 2 else []
+    together = F.when(two.isin(split), F.shiftright("key", 8).bitwiseAND(0xFFFFFF).bitwiseOR(1 << 24)).otherwise(two) if split else two
+    dealt = totals.repartition(parts, together)
+
+    def kinds(batches: Iterable[pa.RecordBatch]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """The strings of a partition and their counts, by the depth from which it has all of their nodes."""
         table = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("n", pa.int64())]))
-        return table.column(0).to_numpy(), table.column(1).to_numpy()
+        found, n = table.column(0).to_numpy(), table.column(1).to_numpy()
+        apart = np.isin((found >> 8) & 0xFFFF, split) if split else np.zeros(len(found), bool)
+        return [(top, found[some], n[some]) for top, some in ((2, ~apart), (3, apart)) if some.any()]
 
     def climb(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, counts = whole(batches)
-        if len(found):
-            for bit, levels in enumerate(upward(found, counts, depth, 2)):
-                top = levels[0]
-                one = (top.keys >> 8 & 0xFF) << 8 | (top.keys & 0xFF)
-                level = grouped(one, top.zeros, top.ones, top.weighted)
-                below = grouped(one, top.zeros, top.ones, None)  # for its order alone
-                sums = np.zeros(len(below.keys))
-                np.add.at(sums, np.searchsorted(below.keys, one), top.weighted)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(level.keys), bit, np.int32)), pa.array(level.keys), pa.array(level.zeros), pa.array(level.ones), pa.array(sums)], ["bit", "key", "zeros", "ones", "below"]
-                )
-
-    sums = dealt.mapInArrow(climb, "bit int, key long, zeros long, ones long, below double").groupBy("bit", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
-    rows = sums.orderBy("bit", "key").collect()  # 256 contexts of 255 nodes at most
+        for top, found, n in kinds(batches):
+            for bit, levels in enumerate(upward(found, n, depth, top)):
+                keys, *sums = _put_together(levels[0], 8 * (top - 1))
+                marks = [pa.array(np.full(len(keys), x, np.int32)) for x in (top - 1, bit)]
+                yield pa.RecordBatch.from_arrays([*marks, pa.array(keys), *map(pa.array, sums)], ["depth", "bit", "key", "zeros", "ones", "below"])
+
+    climbed = dealt.mapInArrow(climb, "depth int, bit int, key long, zeros long, ones long, below double").groupBy("depth", "bit", "key")
+    # 256 contexts and those that are split, of 255 nodes at most
+    rows = climbed.agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).orderBy("depth", "bit", "key").toArrow()
+    columns = [rows.column(c).to_numpy() for c in ("depth", "bit", "key", "zeros", "ones", "below")]
     high: list[list[Level]] = []
+    deep: list[Level] = []
     for bit in range(8):
-        own = [r for r in rows if r.bit == bit]
-        columns = (np.array([getattr(r, c) for r in own], t) for c, t in (("key", np.int64), ("zeros", np.int64), ("ones", np.int64), ("below", np.float64)))
-        one = grouped(*columns)
+        nodes = {d: [c[(columns[0] == d) & (columns[1] == bit)] for c in columns[2:]] for d in (1, 2)}
+        deep.append(grouped(*nodes[2]))
+        one = grouped(*(np.concatenate(c) for c in zip(nodes[1], _put_together(deep[-1], 8), strict=True)))
         high.append([grouped(one.keys & 0xFF, one.zeros, one.ones, one.weighted), one])
 
     def descend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, counts = whole(batches)
-        if len(found):
-            trees = [a + b for a, b in zip(high, upward(found, counts, depth, 2), strict=True)]
+        for top, found, n in kinds(batches):
+            above = high if top == 2 else [a + [b] for a, b in zip(high, deep, strict=True)]
+            trees = [a + b for a, b in zip(above, upward(found, n, depth, top), strict=True)]
             for low in range(0, len(found), 200_000):
                 some = found[low : low + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array(_bucket(some, bits)), pa.array(some), pa.array(downward(some, trees, depth, 0) / math.log(10))], ["bucket", "key", "value"])
@@ -143,7 +153,7 @@ def _string_values(totals: DataFrame, depth: int, parts: int, bits: int) -> Data
     return dealt.mapInArrow(descend, "bucket long, key long, value double")
 
 
-def language_scores(docs: DataFrame, folds: int = 10, depth: int = 5, chunk_bytes: int = 16_000_000, bucket_bytes: int = 16_000_000) -> DataFrame:
+def language_scores(docs: DataFrame, folds: int = 10, depth: int = 5, chunk_bytes: int = 16_000_000, bucket_bytes: int = 16_000_000, fan: int = 8, hot: int = 4_000_000) -> DataFrame:
     """Log-probabilities of whole texts under a byte model and a base model of words.
 
     Learns from rows whose CRC-32 of the id as text is not divisible by
@@ -164,15 +174,16 @@ def language_scores(docs: DataFrame, folds: int = 10, depth: int = 5, chunk_byte
 
     Each chunk of documents (:mod:`~.chunks`) sends its distinct words and strings
     with their training counts to buckets by a hash, once each, and gets back the
-    values in the same order. So nothing is broadcast, and no task holds more than
-    a chunk, a bucket, or the distinct strings that share two bytes of context.
+    values in the same order (:mod:`~.exchange`, ``fan`` bits of buckets at a time). So nothing is broadcast, and no task holds more than
+    a chunk, a bucket, or the distinct strings that share two bytes of context, three
+    where there are more than ``hot`` of these.
     Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(utf8(F.col("text"))))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(total, 1) / bucket_bytes)))
-    base_bucket = 1 << bits  # buckets of words come after those of strings
     chunks = chunked(docs, chunk_bytes)
+    ways = KeyExchange(Route(bits, chunks.count(), fan), bits, _bucket, lambda values, starts, _: np.add.reduceat(values, starts))
 
     def split(chunk: Chunk) -> tuple[list[bytes], np.ndarray]:
         texts = [t.lower() for t in chunk.texts()]
@@ -193,78 +204,59 @@ def language_scores(docs: DataFrame, folds: int = 10, depth: int = 5, chunk_byte
                 other, _ = _strings_of([t for t, out in zip(texts, held, strict=True) if out], depth)
                 found, counts = _merged([(seen, n), (other, np.zeros(len(other), np.int64))])
                 ends = int((~held).sum())
-                for first, keys, values in ((0, found, counts), (base_bucket, words, word_counts)):
-                    order, there, starts, stops = _dealt(keys, bits)
-                    keys, values = keys[order], values[order]
-                    for b, low, high in zip(there.tolist(), starts.tolist(), stops.tolist(), strict=True):
-                        packed = squeezed(np.diff(keys[low:high], prepend=0)), squeezed(values[low:high].astype(np.int32))
-                        row = [pa.array([first + b], pa.int64()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), pa.array([ends], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(row, ["bucket", "chunk", "keys", "counts", "ends"])
+                for kind, keys, values in ((STRINGS, found, counts), (WORDS, words, word_counts)):
+                    order = ways.order(keys)
+                    for bucket, *packed in ways.rows(keys[order], values[order]):
+                        row = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int64()), pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), pa.array([ends], pa.int64())]
+                        yield pa.RecordBatch.from_arrays(row, ["kind", "bucket", "source", "keys", "values", "ends"])
                         ends = 0
 
-    def opened(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of each row; distinct keys with their totals; for all rows' keys in turn their place among these."""
-        rows = [np.cumsum(restored(x, np.int64)) for x in group.column("keys").to_pylist()]
-        counts = np.concatenate([restored(x, np.int32) for x in group.column("counts").to_pylist()])
-        keys, place = np.unique(np.concatenate(rows), return_inverse=True)
-        return rows, keys, np.bincount(place, counts, len(keys)).astype(np.int64), place
-
-    def replies_of(group: pa.Table, rows: list[np.ndarray], values: np.ndarray) -> dict[str, pa.Array]:
-        ends = np.cumsum([len(r) for r in rows])
-        blobs = [squeezed(values[e - len(r) : e]) for r, e in zip(rows, ends.tolist(), strict=True)]
-        return {"chunk": group.column("chunk"), "bucket": group.column("bucket"), "values": pa.array(blobs, pa.binary())}
-
     def count_words(group: pa.Table) -> pa.Table:
-        rows, keys, totals, place = opened(group)
-        first = [1] + [0] * (len(rows) - 1)
+        sizes, keys, totals, place = ways.opened(group)
+        first = [1] + [0] * (len(sizes) - 1)
         stats = {"distinct": int((totals > 0).sum()), "tokens": int(totals.sum())}
-        return pa.table(replies_of(group, rows, totals[place].astype(np.int64)) | {k: pa.array([v * f for f in first], pa.int64()) for k, v in stats.items()})
+        return pa.table(ways.answers(group, sizes, totals[place]) | {k: pa.array([v * f for f in first], pa.int64()) for k, v in stats.items()})
 
     def count_strings(group: pa.Table) -> pa.Table:
-        _, keys, totals, _ = opened(group)
+        _, keys, totals, _ = ways.opened(group)
         return pa.table({"key": pa.array(keys), "n": pa.array(totals)})
 
     def value_strings(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, keys, _, place = opened(left)
+        sizes, keys, _, place = ways.opened(left)
         known, value = right.column("key").to_numpy(), right.column("value").to_numpy()
         order = np.argsort(known)
         if len(known) != len(keys) or (known[order] != keys).any():
             raise RuntimeError("strings and their values differ")
-        return pa.table(replies_of(left, rows, value[order][place].astype(np.float32)))
+        return pa.table(ways.answers(left, sizes, value[order][place].astype(np.float32)))
 
-    sent = written(chunks.mapInArrow(send, "bucket long, chunk long, keys binary, counts binary, ends long"))
-    strings_sent, words_sent = sent.where(F.col("bucket") < base_bucket), sent.where(F.col("bucket") >= base_bucket)
-    replies = "chunk long, bucket long, values binary"
-    word_replies = checkpointed(words_sent.groupBy("bucket").applyInArrow(count_words, replies + ", distinct long, tokens long"))
+    sent = written(chunks.mapInArrow(send, "kind int, " + KEYS + ", ends long"))
+    strings_sent, words_sent = (ways.up(sent.where(F.col("kind") == kind).select("bucket", "source", "keys", "values")) for kind in (STRINGS, WORDS))
+    word_replies = checkpointed(words_sent[-1].groupBy("bucket").applyInArrow(count_words, ANSWERS + ", distinct long, tokens long"))
     distinct, tokens = word_replies.agg(F.sum("distinct"), F.sum("tokens")).first()
     ends = sent.agg(F.sum("ends")).first()[0] or 0
     n, v = (tokens or 0) + ends, (distinct or 0) + (ends > 0)
     scale = math.log10(n + 0.1 * (v + 1))
     end = math.log10(ends + 0.1) - scale
 
-    string_totals = checkpointed(strings_sent.groupBy("bucket").applyInArrow(count_strings, "key long, n long"))
+    string_totals = checkpointed(strings_sent[-1].groupBy("bucket").applyInArrow(count_strings, "key long, n long"))
     parts = max(partitions(spark), 1 + string_totals.count() // 1_000_000)
-    values = _string_values(string_totals, depth, parts, bits)
-    string_replies = strings_sent.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(value_strings, replies)
-    answered = word_replies.select("chunk", "bucket", "values").unionByName(string_replies)
+    values = _string_values(string_totals, depth, parts, bits, hot)
+    string_replies = strings_sent[-1].groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(value_strings, ANSWERS)
+    word_answers = ways.down(words_sent, word_replies.select("bucket", "source", "values"), np.int64)
+    string_answers = ways.down(strings_sent, string_replies, np.float32)
+    answered = word_answers.withColumn("kind", F.lit(WORDS)).unionByName(string_answers.withColumn("kind", F.lit(STRINGS)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if len(left) != 1:
             raise RuntimeError("a chunk is not one row")
         chunk = Chunk.unpack(left.column("blob")[0].as_py())
         texts, held = split(chunk)
-        reply = dict(zip(right.column("bucket").to_pylist(), right.column("values").to_pylist(), strict=True))
-
-        def back(keys: np.ndarray, first: int, kind: type) -> np.ndarray:
-            """The values that came back for keys, in their own order."""
-            order, there, starts, stops = _dealt(keys, bits)
-            out = np.zeros(len(keys), kind)
-            for b, low, high in zip(there.tolist(), starts.tolist(), stops.tolist(), strict=True):
-                out[order[low:high]] = restored(reply[first + b], kind)
-            return out
+        replies: dict[int, dict[int, bytes]] = {STRINGS: {}, WORDS: {}}
+        for kind, bucket, blob in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "values")), strict=True):
+            replies[kind][bucket] = blob
 
         words = _words_of(texts)
-        counts = back(_hashed(words), base_bucket, np.int64)
+        counts = ways.back(_hashed(words), replies[WORDS], np.int64)
         unknown = math.log10(0.1) - scale
         cache = dict(zip(words, np.where(counts > 0, np.log10(counts + 0.1) - scale, unknown).tolist(), strict=True))
         del words, counts
@@ -276,7 +268,7 @@ def language_scores(docs: DataFrame, folds: int = 10, depth: int = 5, chunk_byte
             base.append(math.fsum(own) + end)
         del cache
         keys = _strings_of(texts, depth)[0]
-        value = back(keys, 0, np.float32).astype(np.float64)
+        value = ways.back(keys, replies[STRINGS], np.float32).astype(np.float64)
         among = pa.array(keys)
         scores: list[np.ndarray] = []
         for some in _blocks(texts):
@@ -291,4 +283,4 @@ def language_scores(docs: DataFrame, folds: int = 10, depth: int = 5, chunk_byte
         return pa.table(columns)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, schema)
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("source")).applyInArrow(score, schema)
