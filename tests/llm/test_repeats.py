@@ -51,10 +51,10 @@ def result(spark, data, **more):
     return sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256, bytes(x.kept)) for x in without_repeats(df, keep_bytes=True, **more).collect()), key=str)
 
 
-@pytest.mark.parametrize("chunk_bytes,bucket_bytes,hot", [(16_000_000, 8_000_000, 4096), (2_000, 1_000, 4096), (2_000, 1_000, 0), (2_000, 1_000, 3)])
-def test_against_brute_force(spark, chunk_bytes, bucket_bytes, hot):
+@pytest.mark.parametrize("chunk_bytes,bucket_bytes,hot,fan", [(16_000_000, 8_000_000, 4096, 8), (2_000, 1_000, 4096, 8), (2_000, 1_000, 0, 8), (2_000, 1_000, 3, 8), (1_000, 1_000, 4096, 3), (1_000, 1_000, 3, 2)])
+def test_against_brute_force(spark, chunk_bytes, bucket_bytes, hot, fan):
     data = rows()
-    assert result(spark, data, chunk_bytes=chunk_bytes, bucket_bytes=bucket_bytes, hot=hot) == brute(data, 50)
+    assert result(spark, data, chunk_bytes=chunk_bytes, bucket_bytes=bucket_bytes, hot=hot, fan=fan) == brute(data, 50)
 
 
 @pytest.mark.parametrize("length,piece", [(220, 100), (300, 150), (24, 8)])

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunk, chunked, restored, squeezed
-from .common import checkpointed, utf8
+from .common import checkpointed, utf8, written
+from .exchange import ANSWERS, KEYS, KeyExchange, Route, parts, regions_of
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of an anchor's key below those that choose its bucket.
@@ -276,7 +277,40 @@ def _intervals(chunk: int, starts: np.ndarray, ends: np.ndarray) -> tuple[int, b
     return chunk, zstandard.compress(np.stack([starts, ends]).astype(np.int64).tobytes(), 1)
 
 
-def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, keep_bytes: bool = False, hot: int = 4096) -> DataFrame:
+def _bucket_of(keys: np.ndarray, bits: int, known: int) -> np.ndarray:
+    """So many first bits of the buckets of keys that have ``bits`` of them."""
+    return keys >> (KEY_BITS + bits - known)
+
+
+def _add(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of a key in several places: whether several documents have it (the last bit), and its runs."""
+    several = (np.bitwise_or.reduceat(values, starts) & 1) | (sizes > 1)
+    return np.minimum(np.add.reduceat(values >> 1, starts), 1 << 40) << 1 | several
+
+
+class Runs:
+    """Runs of windows on their way: rank, first place, chunk and key of each, and their bytes one after another."""
+
+    def __init__(self, places: np.ndarray, sizes: np.ndarray, text: np.ndarray):
+        self.places, self.sizes, self.text = places, sizes, text
+        self.edges = np.concatenate([[0], np.cumsum(sizes)])
+
+    def packed(self, some: slice | np.ndarray, columns: int) -> tuple[bytes, bytes]:
+        sizes = self.sizes[some]
+        text = self.text[self.edges[some.start] : self.edges[some.stop]] if isinstance(some, slice) else _cut(self.text, self.edges[some], sizes)
+        return squeezed(self.places[some, :columns].ravel()), zstandard.compress(sizes.astype(np.uint16).tobytes() + text.tobytes(), 3)
+
+    @classmethod
+    def unpacked(cls, group: pa.Table, columns: int) -> tuple[Runs, np.ndarray]:
+        """The runs of a group's rows, and the row of each."""
+        places = [restored(x, np.int64).reshape(-1, columns) for x in group.column("places").to_pylist()]
+        raw = [np.frombuffer(zstandard.decompress(x), np.uint8) for x in group.column("text").to_pylist()]
+        sizes = [r[: 2 * len(p)].view(np.uint16).astype(np.int64) for r, p in zip(raw, places, strict=True)]
+        text = [r[2 * len(p) :] for r, p in zip(raw, places, strict=True)]
+        return cls(np.concatenate(places), np.concatenate(sizes), np.concatenate(text)), np.repeat(np.arange(len(places)), [len(p) for p in places])
+
+
+def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_bytes: int = 8_000_000, bucket_bytes: int = 4_000_000, keep_bytes: bool = False, hot: int = 4096, fan: int = 8) -> DataFrame:
     """Remove each byte that a string of ``length`` bytes covers which also starts in a document of smaller id.
 
     Returns, per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal
@@ -297,42 +331,31 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
     chunk, and tasks hold a chunk or a bucket. An anchor with more than ``hot``
     different runs, summed over chunks, is split: its windows are sent one by one,
     to buckets by the hash of the whole window, where equal ones still meet. Equal
-    windows are sent once for each chunk that has them.
+    windows are sent once for each chunk that has them. All exchanges tell ``fan``
+    bits of the buckets apart at a time (:mod:`~.exchange`).
     """
     if not 8 <= piece < length or length - piece > 200 or 2 * length - piece > 65_535:
         raise ValueError("piece must be at least 8 and below length, by 200 at most, and length below 32768")
-    shift = KEY_BITS
     total = docs.agg(F.sum(F.octet_length(utf8(F.col("text"))))).first()[0] or 0
     bits = max(1, math.ceil(math.log2(max(total, 1) / bucket_bytes))) if total > bucket_bytes else 1
+    chunks = chunked(docs, chunk_bytes)
+    route = Route(bits, chunks.count(), fan)
+    ways = KeyExchange(route, bits, lambda keys, known: _bucket_of(keys, bits, known), _add)
+    steps = len(route.steps)
+    columns = 2 if steps == 1 else 4  # in one step a row's runs are of one chunk and one bucket
 
     def send_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys, several, different = _distinct(_runs(Chunk.unpack(blob), length, piece, bits))
-                buckets, starts = np.unique(keys >> shift, return_index=True)
-                ends = [*starts[1:].tolist(), len(keys)]
-                packed = [(squeezed(np.diff(keys[a:b] & ((1 << KEY_BITS) - 1), prepend=0).astype(np.uint32)), np.packbits(several[a:b]).tobytes(), zstandard.compress(different[a:b].tobytes(), 1)) for a, b in zip(starts.tolist(), ends, strict=True)]
-                n = len(buckets)
-                sizes = [b - a for a, b in zip(starts.tolist(), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array([number] * n, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1, 2))], ["bucket", "chunk", "n", "keys", "several", "different"])
+                found = ways.rows(keys, different.astype(np.int64) << 1 | several)
+                packed = [pa.array([f[i] for f in found], pa.binary()) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([number] * len(found), pa.int64()), *packed], ["bucket", "source", "keys", "values"])
 
     def match_keys(group: pa.Table) -> pa.Table:
-        parts = []
-        for n, blob, flags, numbers in zip(*(group.column(c).to_pylist() for c in ("n", "keys", "several", "different")), strict=True):
-            parts.append((np.cumsum(restored(blob, np.uint32).astype(np.int64)), np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool), np.frombuffer(zstandard.decompress(numbers), np.uint8)))
-        keys, several, different = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.argsort(keys, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-        shared = np.zeros(len(keys), bool)
-        shared[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(several[order], starts), sizes)
-        split = np.zeros(len(keys), bool)
-        split[order] = np.repeat(np.add.reduceat(different[order].astype(np.int64), starts) > hot, sizes)
-        at, flags = 0, []
-        for k, *_ in parts:
-            flags.append((np.packbits(shared[at : at + len(k)]).tobytes(), np.packbits(split[at : at + len(k)]).tobytes() if split[at : at + len(k)].any() else b""))
-            at += len(k)
-        return pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk"), "shared": pa.array([f[0] for f in flags], pa.binary()), "split": pa.array([f[1] for f in flags], pa.binary())})
+        sizes, _, totals, place = ways.opened(group)
+        flags = (totals & 1) | ((totals >> 1) > hot).astype(np.int64) << 1
+        return pa.table(ways.answers(group, sizes, flags[place].astype(np.uint8)))
 
     def send_runs(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[int, int, bytes, bytes | None]] = []
@@ -340,13 +363,8 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
             chunk = Chunk.unpack(blob)
             runs = _runs(chunk, length, piece, bits)
             keys = np.unique(runs[0])
-            reply = {b: flags for b, *flags in zip(*(right.column(c).to_pylist() for c in ("bucket", "shared", "split")), strict=True)}
-            buckets, starts = np.unique(keys >> shift, return_index=True)
-            shared, split = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-            for bucket, a, b in zip(buckets.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-                shared[a:b] = np.unpackbits(np.frombuffer(reply[bucket][0], np.uint8), count=b - a)
-                if reply[bucket][1]:
-                    split[a:b] = np.unpackbits(np.frombuffer(reply[bucket][1], np.uint8), count=b - a)
+            flags = ways.back(keys, dict(zip(right.column("bucket").to_pylist(), right.column("values").to_pylist(), strict=True)), np.uint8)
+            shared, split = (flags & 1).astype(bool), flags > 1
             place = np.searchsorted(keys, runs[0])
             repeated = shared[place]
             if not repeated.any():
@@ -371,47 +389,65 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
                 found.append((-1 - number, *_intervals(number, first[larger], last[larger] + length), None))
             own = np.flatnonzero(~larger)
             own = own[np.argsort(key[own], kind="stable")]
-            bucket = key[own] >> shift
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True):
-                some = own[a:b]
-                sizes = last[some] - first[some] + length
-                text = zstandard.compress(sizes.astype(np.uint16).tobytes() + _cut(data, first[some], sizes).tobytes(), 3)
-                found.append((int(bucket[a]), number, squeezed(np.stack([rank[some], first[some]], 1).ravel().astype(np.int64)), text))
-        return pa.table({"bucket": pa.array([f[0] for f in found], pa.int64()), "chunk": pa.array([f[1] for f in found], pa.int64()), "places": pa.array([f[2] for f in found], pa.binary()), "text": pa.array([f[3] for f in found], pa.binary())})
+            sizes = last[own] - first[own] + length
+            sent = Runs(np.stack([rank[own], first[own], np.full(len(own), number), key[own]], 1), sizes, _cut(data, first[own], sizes))
+            found += [(bucket, number, *sent.packed(slice(low, high), columns)) for bucket, low, high in parts(_bucket_of(key[own], bits, route.steps[0]))]
+        return pa.table({"bucket": pa.array([f[0] for f in found], pa.int64()), "source": pa.array([f[1] for f in found], pa.int64()), "places": pa.array([f[2] for f in found], pa.binary()), "text": pa.array([f[3] for f in found], pa.binary())})
+
+    def join_runs(step: int):
+        def join(group: pa.Table) -> pa.Table:
+            held, _ = Runs.unpacked(group, columns)
+            bucket = _bucket_of(held.places[:, 3], bits, route.steps[step])
+            order = np.argsort(bucket, kind="stable")
+            found = [(b, *held.packed(order[low:high], columns)) for b, low, high in parts(bucket[order])]
+            return pa.table({"bucket": pa.array([f[0] for f in found], pa.int64()), "source": pa.array([group.column("next")[0].as_py()] * len(found), pa.int64()), "places": pa.array([f[1] for f in found], pa.binary()), "text": pa.array([f[2] for f in found], pa.binary())})
+
+        return join
 
     def match_runs(group: pa.Table) -> pa.Table:
         if group.column("bucket")[0].as_py() < 0:  # what a chunk has decided itself
-            return pa.table({"chunk": group.column("chunk"), "spans": group.column("places")})
-        rank, first, sizes, text, counts = [], [], [], [], []
-        for places, blob in zip(group.column("places").to_pylist(), group.column("text").to_pylist(), strict=True):
-            both = restored(places, np.int64).reshape(-1, 2)
-            raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-            rank.append(both[:, 0])
-            first.append(both[:, 1])
-            counts.append(len(both))
-            sizes.append(raw[: 2 * len(both)].view(np.uint16).astype(np.int64))
-            text.append(raw[2 * len(both) :])
-        all_sizes = np.concatenate(sizes)
-        windows = all_sizes - length + 1
-        begin = np.cumsum(all_sizes) - all_sizes
+            return pa.table({"bucket": group.column("bucket"), "source": group.column("source"), "spans": group.column("places")})
+        held, row = Runs.unpacked(group, columns)
+        numbers = group.column("source").to_numpy()
+        chunk = held.places[:, 2] if steps > 1 else numbers[row]
+        windows = held.sizes - length + 1
+        begin = held.edges[:-1]
         turn = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        starts = np.repeat(begin, windows) + turn
-        gone = covered(np.concatenate(text), starts, np.repeat(np.concatenate(rank), windows), length)
-        places = np.repeat(np.concatenate(first), windows) + turn
-        of = np.repeat(np.repeat(np.arange(len(counts)), counts), windows)
-        run = np.repeat(np.arange(len(windows)), windows)
+        gone = covered(held.text, np.repeat(begin, windows) + turn, np.repeat(held.places[:, 0], windows), length)
+        run = np.repeat(np.arange(len(windows)), windows)[gone]
+        at = held.places[run, 1] + turn[gone]
         out = []
-        places, of, run = places[gone], of[gone], run[gone]
-        if len(places):
-            new = np.concatenate([[True], (run[1:] != run[:-1]) | (places[1:] != places[:-1] + 1)])
+        if len(at):
+            new = np.concatenate([[True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)])
             a = np.flatnonzero(new)
-            b = np.concatenate([a[1:], [len(places)]]) - 1
-            numbers = group.column("chunk").to_pylist()
-            for i in np.unique(of[a]).tolist():
-                mine = of[a] == i
-                out.append(_intervals(numbers[i], places[a[mine]], places[b[mine]] + length))
-        return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "spans": pa.array([s for _, s in out], pa.binary())})
+            b = np.concatenate([a[1:], [len(at)]]) - 1
+            out = _by_source(chunk[run[a]], at[a], at[b] + length, numbers[row[run[a]]])
+        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()] * len(out), pa.int64()), "source": pa.array([s for s, _ in out], pa.int64()), "spans": pa.array([s for _, s in out], pa.binary())})
+
+    def _by_source(chunk: np.ndarray, starts: np.ndarray, ends: np.ndarray, source: np.ndarray) -> list[tuple[int, bytes]]:
+        """Spans for each source; with their chunks, where a source is several."""
+        out = []
+        order = np.argsort(source, kind="stable")
+        for number, low, high in parts(source[order]):
+            mine = order[low:high]
+            rows = [starts[mine], ends[mine]] if steps == 1 else [starts[mine], ends[mine], chunk[mine]]
+            out.append((number, zstandard.compress(np.stack(rows).astype(np.int64).tobytes(), 1)))
+        return out
+
+    def split_spans(step: int):
+        """Spans of joint sources to those of the step before; to chunks at last."""
+
+        def split(group: pa.Table) -> pa.Table:
+            held = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64).reshape(3, -1) for x in group.column("spans").to_pylist()], axis=1)
+            source = held[2] if step == 0 else regions_of(held[2], route.joint[step])
+            if step == 0:
+                order = np.argsort(source, kind="stable")
+                out = [_intervals(number, held[0][order[low:high]], held[1][order[low:high]]) for number, low, high in parts(source[order])]
+            else:
+                out = _by_source(held[2], held[0], held[1], source)
+            return pa.table({"bucket": pa.array([group.column("parent")[0].as_py()] * len(out), pa.int64()), "source": pa.array([s for s, _ in out], pa.int64()), "spans": pa.array([s for _, s in out], pa.binary())})
+
+        return split
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         spans = [np.frombuffer(zstandard.decompress(b), np.int64).reshape(2, -1) for b in right.column("spans").to_pylist()]
@@ -434,10 +470,22 @@ def without_repeats(docs: DataFrame, length: int = 50, piece: int = 24, chunk_by
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes]
         return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))})
 
-    chunks = chunked(docs, chunk_bytes)
-    keys = chunks.mapInArrow(send_keys, "bucket long, chunk long, n long, keys binary, several binary, different binary")
-    replies = keys.groupBy("bucket").applyInArrow(match_keys, "bucket long, chunk long, shared binary, split binary")
-    runs = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send_runs, "bucket long, chunk long, places binary, text binary")
-    spans = checkpointed(runs.groupBy("bucket").applyInArrow(match_runs, "chunk long, spans binary"))
+    messages, answers = "bucket long, source long, places binary, text binary", "bucket long, source long, spans binary"
+    asked = ways.up(chunks.mapInArrow(send_keys, KEYS))
+    replies = ways.down(asked, asked[-1].groupBy("bucket").applyInArrow(match_keys, ANSWERS), np.uint8)
+    runs = chunks.groupBy("chunk").cogroup(replies.groupBy("source")).applyInArrow(send_runs, messages)
+    if steps > 1:
+        runs = written(runs)
+        own = runs.where("bucket < 0").select("bucket", "source", F.col("places").alias("spans"))
+        runs = runs.where("bucket >= 0")
+        for step in range(1, steps):
+            runs = runs.withColumn("next", route.next_source(step - 1)).groupBy("bucket", "next").applyInArrow(join_runs(step), messages)
+    spans = runs.groupBy("bucket").applyInArrow(match_runs, answers)
+    if steps > 1:
+        for step in reversed(range(steps - 1)):
+            grouped = spans.withColumn("parent", F.shiftright("bucket", route.steps[step + 1] - route.steps[step])).groupBy("parent", "source")
+            spans = grouped.applyInArrow(split_spans(step), answers)
+        spans = spans.unionByName(own)
+    spans = checkpointed(spans.select(F.col("source").alias("chunk"), "spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     return chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(finish, schema)
