@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distributions import arm_tvd, histogram, histogram_map, jensen_shannon, matched_arms, smoothed_kl, two_arms
+from .distributions import arm_tvd, jensen_shannon, matched_arms, smoothed_kl, two_arms
 
 SENTENCE = ("trace_id", "sentence_index")
 
@@ -92,13 +92,6 @@ def matched(placed: DataFrame, n: int, key: Column, keep_most: float = 3.0, leas
     return rows.withColumns({"matched_n": F.lit(n), "matched_collapse_ratio": ratio, "matched_is_anchor": anchor})
 
 
-def counts_by_arm(placed: DataFrame, by: Sequence[str] = SENTENCE) -> DataFrame:
-    """Histogram of each arm's valid samples as a map, its keys in order; null where an arm has none."""
-    maps = histogram_map(histogram(placed.where("valid"), [*by, "arm"]), [*by, "arm"])
-    own = lambda arm: F.first(F.when(F.col("arm") == arm, F.col("counts")), ignorenulls=True).alias(f"{arm}_counts")
-    return maps.groupBy(*by).agg(*(own(arm) for arm in ("keep", "remove", "counterfactual", "similar")))
-
-
 def unique_replacements(placed: DataFrame, sentence: str = "first_sentence", by: Sequence[str] = SENTENCE) -> DataFrame:
     """Distinct share of the sentences that scored samples wrote instead, empty ones left out."""
     rows = placed.where(F.col("arm").isin("counterfactual", "similar") & (F.coalesce(F.col(sentence), F.lit("")) != ""))
@@ -124,6 +117,50 @@ def with_sentences(table: DataFrame, traces: DataFrame) -> DataFrame:
     return joined.withColumns({"sentence_text": own["text"], "sentence_tokens": own["token_end"] - own["token_start"]}).drop("sentences")
 
 
+def _kl_of(p: Column, q: Column, support: Column | None = None, alpha: float = 0.5) -> Column:
+    """Smoothed KL of two arms' counts in bits, as an aggregate over entities; the union of both is the support if none is given."""
+    inside = (p > 0) | (q > 0)
+    k = F.count_if(inside) if support is None else support
+    mass_p, mass_q = F.sum(p) + alpha * k, F.sum(q) + alpha * k
+    own = F.sum(F.when(inside, (p + alpha) * F.log2((p + alpha) / (q + alpha)))) / mass_p
+    return F.when((F.sum(p) > 0) & (F.sum(q) > 0), own + F.log2(mass_q / mass_p))
+
+
+def _distances(p: Column, q: Column, n: Column, m: Column) -> tuple[Column, Column]:
+    """TVD and JSD (bits) of two arms' counts of ``n`` and ``m``, as aggregates over entities."""
+    both = (F.max(n) > 0) & (F.max(m) > 0)
+    a, b = F.try_divide(p, n), F.try_divide(q, m)
+    half = lambda x: F.when(x > 0, x * F.log2(2 * x / (a + b))).otherwise(0.0)
+    return F.when(both, 1 - F.try_divide(F.sum(F.least(p * m, q * n)), F.max(n) * F.max(m))), F.when(both, (F.sum(half(a)) + F.sum(half(b))) / 2)
+
+
+ARMS = ("keep", "remove", "counterfactual", "similar")
+
+
+def arm_histograms(placed: DataFrame) -> DataFrame:
+    """All four arms' counts of each entity of a sentence's valid samples side by side, and the arms' sizes (keep_all, ...)."""
+    named = placed.where(F.col("valid") & (F.coalesce("entity", F.lit("")) != ""))
+    counts = named.groupBy(*SENTENCE, "entity").agg(*(F.count_if(F.col("arm") == a).alias(a) for a in ARMS))
+    whole = Window.partitionBy(*SENTENCE)
+    return counts.withColumns({f"{a}_all": F.sum(a).over(whole) for a in ARMS})
+
+
+def _all_divergences(placed: DataFrame, words: DataFrame) -> DataFrame:
+    """The table's divergences and its histograms, from one table of counts."""
+    rows = arm_histograms(placed).join(words, "trace_id", "left")
+    keep, remove, other, similar = (F.col(a) for a in ARMS)
+    size = lambda a: F.col(f"{a}_all")
+    fixed = F.max("vocab_size")
+    resampled, against, within = _distances(keep, remove, size("keep"), size("remove")), _distances(keep, other, size("keep"), size("counterfactual")), _distances(similar, other, size("similar"), size("counterfactual"))
+    cells = {
+        "resampling_kl_keep_remove": _kl_of(keep, remove), "resampling_kl_remove_keep": _kl_of(remove, keep), "resampling_kl_remove_keep_fixed": _kl_of(remove, keep, fixed), "resampling_jsd": resampled[1],
+        "counterfactual_kl_keep_cf": _kl_of(keep, other), "counterfactual_kl_cf_keep": _kl_of(other, keep), "counterfactual_kl_keep_cf_fixed": _kl_of(keep, other, fixed), "counterfactual_kl_cf_keep_fixed": _kl_of(other, keep, fixed),
+        "counterfactual_jsd": against[1], "counterfactual_tvd": within[0],
+    }
+    maps = {f"{a}_counts": F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(a) > 0, F.struct("entity", F.col(a).alias("c")))))) for a in ARMS}
+    return rows.groupBy(*SENTENCE).agg(*(c.alias(n) for n, c in (cells | maps).items()))
+
+
 def importance_table(samples: DataFrame, last: DataFrame, threshold: float | None = None, correct: str = "is_correct") -> DataFrame:
     """One row for each sentence of each trace, with its figures; arms that are missing count as empty.
 
@@ -139,10 +176,7 @@ def importance_table(samples: DataFrame, last: DataFrame, threshold: float | Non
     words = vocabulary(samples)
     out = last.select("trace_id", (F.col("last_boundary")).alias("n_sentences"), F.explode(F.sequence(F.lit(0), F.col("last_boundary") - 1)).alias("sentence_index")).where("n_sentences > 0")
     out = out.withColumn("position", F.col("sentence_index") / F.col("n_sentences")).join(words.withColumnRenamed("vocab_size", "case_vocab_size"), "trace_id", "left")
-    resampling = divergences(placed, "keep", "remove", words).select(*SENTENCE, F.col("kl").alias("resampling_kl_keep_remove"), F.col("kl_back").alias("resampling_kl_remove_keep"), F.col("jsd").alias("resampling_jsd"), F.col("kl_back_fixed").alias("resampling_kl_remove_keep_fixed"))
-    against = divergences(placed, "keep", "counterfactual", words).select(*SENTENCE, F.col("kl").alias("counterfactual_kl_keep_cf"), F.col("kl_back").alias("counterfactual_kl_cf_keep"), F.col("jsd").alias("counterfactual_jsd"), F.col("kl_fixed").alias("counterfactual_kl_keep_cf_fixed"), F.col("kl_back_fixed").alias("counterfactual_kl_cf_keep_fixed"))
-    within = divergences(placed, "similar", "counterfactual").select(*SENTENCE, F.col("tvd").alias("counterfactual_tvd"))
-    parts = [arm_counts(placed), accuracies(placed, correct), resampling, against, within, counts_by_arm(placed)]
+    parts = [arm_counts(placed), accuracies(placed, correct), _all_divergences(placed, words)]
     drawn = ["matched_n", "matched_effective_keep", "matched_effective_counterfactual", "matched_collapse_ratio", "matched_is_anchor", "matched_kl_cf_keep", "matched_kl_cf_keep_fixed"]
     kinds = ["int", "double", "double", "double", "boolean", "double", "double"]
     missing = {}
@@ -159,5 +193,5 @@ def importance_table(samples: DataFrame, last: DataFrame, threshold: float | Non
     for part in parts:
         out = out.join(part, list(SENTENCE), "left")
     empty = F.create_map().cast("map<string,bigint>")
-    counts = {f"{arm}_counts": F.coalesce(f"{arm}_counts", empty) for arm in ("keep", "remove", "counterfactual", "similar")}
+    counts = {f"{arm}_counts": F.coalesce(f"{arm}_counts", empty) for arm in ARMS}
     return out.fillna(0, ["remove_n", "keep_n", "counterfactual_n", "similar_n", "remove_invalid", "keep_invalid"]).withColumns(counts | missing | {"threshold": F.lit(threshold)})
