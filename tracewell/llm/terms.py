@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from functools import cached_property
 
 import numpy as np
 import xxhash
@@ -33,12 +34,12 @@ class Runs:
         self.starts, self.sizes = edges[::2], edges[1::2] - edges[::2]
         self.bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)])
         #: every letter, and its place in its run
-        self.letters = self.code[letter].astype(np.uint64)
+        self.letters = self.code[letter]
         self.first = np.cumsum(self.sizes) - self.sizes
         self.inside = np.arange(len(self.letters), dtype=np.int32) - np.repeat(self.first.astype(np.int32), self.sizes)
         self.keys = np.zeros(0, np.uint64)
         if len(self.starts):
-            sums = np.add.reduceat((self.letters + np.uint64(1)) * _POWERS[np.minimum(self.inside, LONG - 1)], self.first)
+            sums = np.add.reduceat((self.letters + np.uint64(1)) * _POWERS[np.minimum(self.inside, LONG - 1)], self.first)  # as 64-bit numbers
             self.keys = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + self.sizes.view(np.uint64)
             for run in np.flatnonzero(self.sizes > LONG):
                 self.keys[run] = xxhash.xxh64_intdigest(self.at(run).encode("utf-8", "surrogatepass"))
@@ -65,11 +66,14 @@ class Vocabulary:
             self.places[slot[free]] = free
             left = left[self.places[slot[left]] != left]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-        self.number = {t: i for i, t in enumerate(terms)}
 
     def __len__(self) -> int:
         return len(self.terms)
 
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {t: i for i, t in enumerate(self.terms)}
+
     def __getstate__(self) -> list[str]:
         return self.terms
 

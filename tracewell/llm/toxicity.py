@@ -45,7 +45,7 @@ class BlockMaxIndex:
         self.n, self.block = n, block
         self.blocks = max(1, -(-n // block))
         order = np.argsort(terms, kind="stable")
-        self.rows, self.weights = rows[order], weights[order]
+        self.rows, self.weights = rows[order].astype(np.int32), weights[order]
         self.sizes = np.bincount(terms, minlength=n_terms)
         self.starts = np.cumsum(self.sizes) - self.sizes
         often = np.argsort(-self.sizes, kind="stable")[:common]
@@ -55,7 +55,11 @@ class BlockMaxIndex:
         self._dense: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_dense": None}
+        return {**self.__dict__, "_dense": None, "tops": None}
+
+    def forget(self) -> None:
+        """Free what a search builds."""
+        self._dense = self.tops = None
 
     @property
     def dense(self) -> np.ndarray:
@@ -125,14 +129,15 @@ class ToxicityModel:
     term's weight is (1 + ln count) times its ``idf``; vectors have length 1.
     """
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: list[int], labels: list[int], entries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, closeness: float = 0.1):
-        self.vocabulary, self.idf, self.k, self.closeness = Vocabulary(vocabulary), np.asarray(idf, float), k, closeness
+    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids: list[int], labels: list[int], entries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, closeness: float = 0.1):
+        self.vocabulary, self.idf, self.k, self.closeness = vocabulary, np.asarray(idf, float), k, closeness
         order = np.lexsort((np.array(ids, np.int64), np.array(labels, np.int64)))  # rows of a label share blocks
         self.ids, self.labels = np.array(ids, np.int64)[order], np.array(labels, float)[order]
         rank = np.zeros(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
         self.base = (self.labels.sum() + 0.5) / (len(ids) + 1)
         rows, terms, weights = self.weighted(rank[entries[0]], entries[1], entries[2], len(ids))
+        del entries
         self.index = BlockMaxIndex(rows, terms, weights, len(ids), len(vocabulary))
         blank = self.labels[np.bincount(rows, minlength=len(ids)) == 0]
         self.blank = (blank.sum() + self.base) / (len(blank) + 1)
@@ -147,6 +152,7 @@ class ToxicityModel:
             votes += self.vote(*found)[some].tolist()
             marks += self.labels[own][some].tolist()
         self.knots = isotonic(np.array(votes), np.array(marks))
+        self.index.forget()  # the driver has no more use for it
 
     def weighted(self, texts: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = (1 + np.log(counts)) * self.idf[terms]
@@ -212,8 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     own = np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)) if rows.num_rows else np.zeros(0, np.int64)
     counts = rows.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False) if rows.num_rows else np.zeros(0, np.int64)
-    ids, y = rows.column("id").to_pylist(), rows.column("y").to_pylist()
-
+    ids, y, sign = rows.column("id").to_pylist(), rows.column("y").to_pylist(), rows.column("sign").to_numpy().copy()
+    counts = counts.astype(np.int32)
+    del rows, lists, coded
     words = Vocabulary(vocabulary)
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     everywhere = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(words) + 1)
     df[everywhere.column("term").to_numpy()] = everywhere.column("n").to_numpy()
-    sign, mark = rows.column("sign").to_numpy(), np.array(y, float)
+    mark = np.array(y, float)
     weight = 1 / np.unique(sign, return_counts=True)[1][np.unique(sign, return_inverse=True)[1]] if len(sign) else np.zeros(0)
     ones, zeros = float((weight * mark).sum()), float((weight * (1 - mark)).sum())
     of_ones = np.bincount(terms, weights=(weight * mark)[own], minlength=len(words))
@@ -237,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     share = (of_ones + of_zeros + 0.5) / (ones + zeros + 1)
     apart = (of_ones / max(ones, 1.0) - of_zeros / max(zeros, 1.0)) ** 2 / (share * (1 - share) * (1 / max(ones, 1.0) + 1 / max(zeros, 1.0)))
     idf = (1 + np.log((1 + df[-1]) / (1 + df[:-1]))) * np.maximum(1.0, apart / 4)
-    return ToxicityModel(vocabulary, idf, ids, y, (own, terms, counts), max(3, math.isqrt(len(ids)) // 3))
+    return ToxicityModel(words, idf, ids, y, (own, terms, counts), max(3, math.isqrt(len(ids)) // 3))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, shown: int = 5) -> DataFrame:
