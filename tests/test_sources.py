@@ -64,4 +64,4 @@ def test_arriving_samples(spark, tmp_path):
     for k in (1, 2):
         spark.createDataFrame([row, row, (*row[:3], k, *row[4:])], schemas.ROLLOUTS).write.mode("append").parquet(path)
         ingest.keep_histogram(ingest.arriving(spark, path), table, str(tmp_path / "state")).awaitTermination(60)
-    assert ingest.histogram_so_far(spark, table).first().c == 4
+    assert ingest.histogram_so_far(spark, table).first().c == 3  # the first sample came in both batches

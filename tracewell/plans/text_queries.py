@@ -139,14 +139,15 @@ def short_answers_removed(spark, d):
     return rows.select("item_id", _read(reasoning.without_short_answers).alias("kept"))
 
 
-_MARKED = r"regexp_replace(coalesce(text, ''), '([.?])(\s+[\"(]?[A-Z0-9])', '\1' || chr(30) || '\2', 'g')"
+#: Marks before white space and a capital or digit, in texts whose characters outside printable ASCII are an x: white space means the same to both engines there.
+_MARKED = r"regexp_replace(regexp_replace(coalesce(text, ''), '[^\x09\x0a\x0d\x20-\x7e]', 'x', 'g'), '([.?])(\s+[\"(]?[A-Z0-9])', '\1' || chr(30) || '\2', 'g')"
+_PIECES = rf"list_filter(string_split({_MARKED}, chr(30)), lambda s: not regexp_full_match(s, '\s*'))"
 
 
-@query(rf"select doc_id, len(list_filter(string_split({_MARKED}, chr(30)), lambda s: not regexp_full_match(s, '\s*')))::int as n, md5(coalesce(regexp_replace(regexp_replace(list_filter(string_split({_MARKED}, chr(30)), lambda s: not regexp_full_match(s, '\s*'))[1], '^\s+', ''), '\s+\z', ''), '')) as first from documents where regexp_full_match(coalesce(text, ''), '[\x09\x0a\x0d\x20-\x7e]*')")
+@query(rf"select doc_id, len({_PIECES})::int as n, md5(coalesce(regexp_replace(regexp_replace({_PIECES}[1], '^\s+', ''), '\s+\z', ''), '')) as first from documents")
 def clinical_sentences(spark, d):
-    """Of texts in printable ASCII."""
-    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).where(F.col("t").rlike(r"\A[\x09\x0a\x0d\x20-\x7e]*\z"))
-    parts = rows.select("doc_id", sentences.split_column(F.col("t")).alias("p"))
+    tidy = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x09\x0a\x0d\x20-\x7e]", "x")
+    parts = table(spark, d, "documents").select("doc_id", sentences.split_column(tidy).alias("p"))
     return parts.select("doc_id", F.size("p").alias("n"), F.md5(F.coalesce(F.get("p", F.lit(0)), F.lit("")).cast("binary")).alias("first"))
 
 

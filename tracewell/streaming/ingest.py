@@ -19,15 +19,18 @@ def arriving(spark: SparkSession, path: str) -> DataFrame:
 def keep_histogram(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Keep counts of finish reasons for each boundary in a table of deltas, one folder for each batch.
 
-    A batch that is run again writes its folder again, so that each is counted
-    once; samples that come twice within a batch count once.
+    A sample counts once, however often and in whichever batches it comes: the
+    stream's state holds the keys of all samples, so it grows with them and
+    belongs in a state store on disk. A batch that is run again writes its folder
+    again.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        counts = batch.dropDuplicates(KEY).groupBy("trace_id", "boundary_index", "finish_reason").agg(F.count(F.lit(1)).alias("c"))
+        counts = batch.groupBy("trace_id", "boundary_index", "finish_reason").agg(F.count(F.lit(1)).alias("c"))
         counts.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    once = stream.dropDuplicates(KEY)
+    return once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def histogram_so_far(spark: SparkSession, table: str) -> DataFrame:
