@@ -72,18 +72,19 @@ def direction_count(medians: DataFrame, unit: str, source: str, value: str, orde
 
 def _quartiles(value: str, digits: int) -> Column:
     q = lambda p: F.round(F.percentile(value, F.lit(p)), digits)
-    return F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", q(0.5), q(0.25), q(0.75))
+    return F.when(q(0.5).isNotNull(), F.format_string(f"%.{digits}f [%.{digits}f, %.{digits}f]", q(0.5), q(0.25), q(0.75)))  # null for no values
 
 
 def sensitivity_table(sweep: DataFrame) -> DataFrame:
     """What each band buys, as text: traces that commit, where, and what the answers are like there.
 
     ``sweep`` has a row per trace and delta: commits (boolean), depth, top_share
-    and second_share at the commitment (null where there is none).
+    and second_share at the commitment (null where there is none). Where no trace
+    commits, only the percentage of those that do is there.
     """
     known = lambda c: F.when(F.col("commits"), F.col(c))
     rows = sweep.withColumns({c: known(c) for c in ("depth", "top_share", "second_share")})
-    percent = lambda c: F.format_string("%.1f%%", F.round(100 * c, 1))
+    percent = lambda c: F.when(c.isNotNull(), F.format_string("%.1f%%", F.round(100 * c, 1)))
     return rows.groupBy("delta").agg(
         percent(F.avg(F.col("commits").cast("int"))).alias("committing"), _quartiles("depth", 3).alias("depth_median_iqr"), percent(F.avg((F.col("depth") < 0.5).cast("int"))).alias("before_mid_trace"),
         _quartiles("top_share", 2).alias("top_answer_share"), _quartiles("second_share", 2).alias("second_answer_share"),
