@@ -223,3 +223,11 @@ def test_asking_once(spark):
     texts = spark.createDataFrame([("a  b",), ("a b",), (" ",), ("c",)], "text string")
     none = spark.createDataFrame([], "key string, vec array<float>")
     assert grouping.embed_all(texts, none, lambda ts: [[3.0, 4.0] for _ in ts], 2).count() == 2
+
+
+def test_spearman_of_one_value_is_nan(spark):
+    rows = [("same", 1, 4), ("same", 2, 4), ("same", 3, 4), ("one", 1, 1), ("up", 1, 10), ("up", 2, 20), ("up", 3, 20), ("down", 1, 2), ("down", 2, 1)]
+    got = {x.k: (x.n, x.rho) for x in stats.spearman(spark.createDataFrame(rows, "k string, x int, y int"), "x", "y", ["k"]).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {"same": 3, "one": 1, "up": 3, "down": 2}
+    assert math.isnan(got["same"][1]) and math.isnan(got["one"][1])
+    assert abs(got["up"][1] - math.sqrt(0.75)) < 1e-12 and got["down"][1] == -1

@@ -71,9 +71,10 @@ def kruskal(df: DataFrame, by: str, value: str, least: int = 5) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Correlation of average ranks, with the number of pairs and its t."""
+    """Correlation of average ranks, with the number of pairs and its t; both are NaN where x or y has one value only."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
-    rho = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
+    spread = F.sqrt(F.var_pop("_x") * F.var_pop("_y"))  # corr fails where it is 0
+    rho = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.try_divide(F.covar_pop("_x", "_y"), spread), F.lit(float("nan"))).alias("rho"))
     return rho.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho"))))
 
 
