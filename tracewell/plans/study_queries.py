@@ -193,7 +193,7 @@ me as (select case_id, trace_id, sentence_index, n_sentences::int as n_sentences
 
 
 def _mentions(spark, d) -> DataFrame:
-    parts = F.split(F.coalesce("text", F.lit("")), " ")
+    parts = F.split(F.coalesce("text", F.lit("")), " ", 6)  # five words and the rest
     rows = table(spark, d, "documents").select(
         F.col("doc_id").alias("trace_id"), F.col("source").alias("case_id"), F.array_join(F.slice(parts, 3, 3), " ").alias("raw_answer"), F.split(F.coalesce("text", F.lit("")), "\n").alias("sentences")
     )
