@@ -65,7 +65,7 @@ def wordy(spark, tmp_path_factory):
     return folder, sum(len(x[1]) for x in rows)
 
 
-@pytest.mark.parametrize("name", ["mention_flags", "mention_rates"])
+@pytest.mark.parametrize("name", ["kind_summary", "mention_flags", "mention_rates"])
 def test_texts_are_not_exchanged(spark, wordy, name):
     folder, size = wordy
     before = shuffled(spark)
