@@ -71,3 +71,20 @@ def test_texts_are_not_exchanged(spark, wordy, name):
     before = shuffled(spark)
     registry.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
     assert 0 < shuffled(spark) - before < size / 2
+
+
+@pytest.mark.parametrize("name", ["kind_summary"])
+def test_a_word_of_all_names_does_not_bring_them_all(spark, tmp_path, name):
+    rows = [(i, f"seen as hypertension of k{i:04d} \n" + "\n".join(f"line {n} on old hypertension" for n in range(20)), "en", "src", 0) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before, threshold = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with larger tables
+    try:
+        got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert 0 < shuffled(spark) - before < 8 * sum(len(x[1]) for x in rows)
+    if name == "mention_rates":
+        assert [(x.case_id, x.final_rate, x.other_rate, x.traces) for x in got] == [("src", round(1 / 21, 9), 0.0, 600)]
+    else:
+        assert {x.kind: x.n for x in got} == {"first": 600, "none": 12000}
