@@ -73,7 +73,7 @@ def test_texts_are_not_exchanged(spark, wordy, name):
     assert 0 < shuffled(spark) - before < size / 2
 
 
-@pytest.mark.parametrize("name", ["kind_summary"])
+@pytest.mark.parametrize("name", ["kind_summary", "mention_rates"])
 def test_a_word_of_all_names_does_not_bring_them_all(spark, tmp_path, name):
     rows = [(i, f"seen as hypertension of k{i:04d} \n" + "\n".join(f"line {n} on old hypertension" for n in range(20)), "en", "src", 0) for i in range(600)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")

@@ -32,23 +32,22 @@ def _shortest(words: DataFrame, short: int) -> DataFrame:
 def _indexed(sentences: DataFrame, words: DataFrame) -> DataFrame:
     """Which sentences (case_id, trace_id, sentence_index, flat) name an entity of their case: trace_id, sentence_index.
 
-    An entity stands under that of its words which the fewest sentences hold, so
-    a word that many entities share doesn't bring all of them to all its
-    sentences, and one with a word that no sentence holds is left out. A word
-    stands under its first characters, and a token's substrings of that many are
-    looked up.
+    An entity stands under that of its words which the fewest entities of its case
+    have, so a word that many share doesn't bring all of them to all its
+    sentences; words that stand inside many others, as the shortest do, come last.
+    That word stands under its first characters, and a token's substrings of that
+    many are looked up.
     """
+    each = words.select("case_id", "words", F.explode("words").alias("word"))
+    shared = each.groupBy("case_id", "word").agg(F.count(F.lit(1)).alias("entities"))
+    rarest = F.min(F.struct(F.length("word") < GRAM, "entities", -F.length("word"), "word"))["word"]
+    index = each.join(shared, ["case_id", "word"]).groupBy("case_id", "words").agg(rarest.alias("word")).withColumn("gram", F.substring("word", 1, GRAM))
     tokens = sentences.select("case_id", "trace_id", "sentence_index", F.explode(F.array_distinct(F.split("flat", " "))).alias("token")).where("token <> ''")
     size = F.length("token")
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda at: F.substring("token", at, n))))
-    distinct = tokens.groupBy("case_id", "token").agg(F.count(F.lit(1)).alias("held")).where("held > 0")  # the count is kept in all uses, so that they share one exchange
-    each = words.select("case_id", "words", F.explode("words").alias("word"))
-    lexicon = each.select("case_id", "word", F.substring("word", 1, GRAM).alias("gram")).distinct()
-    holds = distinct.select("case_id", "token", "held", F.explode(F.array_distinct(pieces)).alias("gram")).join(lexicon, ["case_id", "gram"]).where(F.contains("token", "word")).select("case_id", "token", "word", "held")
-    met = holds.groupBy("case_id", "word").agg(F.sum("held").alias("met"))
-    index = each.join(met, ["case_id", "word"]).groupBy("case_id", "words").agg(F.min(F.struct("met", "word"))["word"].alias("word"), F.count(F.lit(1)).alias("there")).where(F.col("there") == F.size("words")).drop("there")
-    keys = holds.select("case_id", "token", "word").join(index.select("case_id", "word").distinct(), ["case_id", "word"])
-    likely = tokens.join(keys, ["case_id", "token"]).select("case_id", "trace_id", "sentence_index", "word").distinct().join(index, ["case_id", "word"])
+    distinct = tokens.select("case_id", "token").distinct().select("case_id", "token", F.explode(F.array_distinct(pieces)).alias("gram"))
+    holds = distinct.join(index.select("case_id", "gram", "word").distinct(), ["case_id", "gram"]).where(F.contains("token", "word")).select("case_id", "token", "word")
+    likely = tokens.join(holds, ["case_id", "token"]).select("case_id", "trace_id", "sentence_index", "word").distinct().join(index.select("case_id", "word", "words"), ["case_id", "word"])
     named = likely.join(sentences.select("trace_id", "sentence_index", "flat"), ["trace_id", "sentence_index"]).where(text.names(F.col("flat"), F.col("words")))
     return named.select("trace_id", "sentence_index").distinct()
 
